@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import shutil
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +16,28 @@ from pyspark.sql import functions as F
 HEX52 = 4503599627370496.0
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per Spark context, from wherever the driver has it."""
+    context = spark.sparkContext
+    if getattr(context, "_ratingloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as folder:
+        packed = f"{folder}/{top.name}.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for source in sorted(top.rglob("*.py")):
+                z.write(source, source.relative_to(top.parent))
+        with open(packed, "rb") as f:
+            name = f"{top.name}-{hashlib.md5(f.read()).hexdigest()[:12]}.zip"
+        kept = os.path.join(tempfile.mkdtemp(), name)
+        shutil.copy(packed, kept)
+    context.addPyFile(kept)
+    context._ratingloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table by Spark's reader, so any store Spark knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,8 +58,6 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
     Only where the setting is absent (tests, a laptop) a local folder is used.
     """
-    import uuid
-
     root = shared_root(spark)
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
@@ -41,8 +65,6 @@ def work_dir(spark: SparkSession, label: str) -> str:
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        import tempfile
-
         root = "file://" + os.path.join(tempfile.gettempdir(), "ratingloom-work")
     return root.rstrip("/")
 

@@ -36,7 +36,7 @@ from .wordhash import U, Words, pieces
 
 GRAM = 3
 SEED_RUN = 4
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 BLOCK_BYTES = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -217,7 +217,7 @@ def matches(items: Items, texts: pa.Array, least: float) -> Iterator[tuple[int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it holds.
 
-    ``doc_id, item_id, score`` (0.5 to 1), and the passage's UTF-8 bytes
+    ``doc_id, item_id, score`` (``least`` to 1), and the passage's UTF-8 bytes
     ``start_byte, end_byte`` and ``n_words`` of the best alignment.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")

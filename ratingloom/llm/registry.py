@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, neardup, sql, tokens
+from . import ann, chat, decontam, langid, mixing, neardup, sql, tokens
 from .common import remainder_of_id, table
 
 #: What conversation -1 says in both of its turns.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector, by inner product."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_additive_quantisation": op2_additive_quantisation,
         "op3_prob_minhash": op3_prob_minhash,
         "op4_seed_align": op4_seed_align,
         "op6_rank_order": op6_rank_order,

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, neardup, sql, tokens
+from . import ann, chat, decontam, langid, mixing, neardup, secrets, sql, tokens
 from .common import remainder_of_id, table
 
 #: What conversation -1 says in both of its turns.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate of every whole text with the forest's verdict."""
+    return secrets.scan(table(spark, sf_dir, "documents"), path_col="source")
+
+
 def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth vector, by inner product."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -59,6 +64,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_forest_secrets": op1_forest_secrets,
         "op2_additive_quantisation": op2_additive_quantisation,
         "op3_prob_minhash": op3_prob_minhash,
         "op4_seed_align": op4_seed_align,

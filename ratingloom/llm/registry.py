@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, neardup, secrets, sql, tokens
+from . import ann, chat, decontam, langid, mixing, neardup, quality, secrets, sql, tokens
 from .common import remainder_of_id, table
 
 #: What conversation -1 says in both of its turns.
@@ -35,6 +35,14 @@ def op4_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder_of_id("doc_id", 3) != 1)
+    rows = docs.select("doc_id", "text", (remainder_of_id("doc_id", 3) == 1).alias("held_out"))
+    return quality.score(rows, *model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_additive_quantisation": op2_additive_quantisation,
         "op3_prob_minhash": op3_prob_minhash,
         "op4_seed_align": op4_seed_align,
+        "op5_random_indexing": op5_random_indexing,
         "op6_rank_order": op6_rank_order,
         "op7_chat_windows": op7_chat_windows,
         "op9_token_counts": op9_token_counts,

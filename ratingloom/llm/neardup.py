@@ -11,11 +11,11 @@ a pair is linked when its exact probability Jaccard is at least ``threshold``
 
 Distribution.  Exact copies are first represented by their smallest id.  In each
 bucket all members are verified against one centre, and links are closed into
-components.  The documents of buckets that then still hold several components are
-joined once more by an exact prefix filter over their rarest shingles, and the
-pairs across components are verified too.  So no link between different texts
-that share a bucket is lost, while a bucket of one large group, or of documents
-that share one passage, costs a linear number of pairs.  Every list (buckets, pairs, links, labels) stays distributed, and each
+components.  In the buckets that then still hold several components, the pairs
+across components are compared by longer signatures (``SKETCH`` registers, a bit
+of each) and those that can reach the threshold are verified too.  So no link
+between different texts that share a bucket is lost, while a bucket of one large
+group costs a linear number of pairs.  Every list (buckets, pairs, links, labels) stays distributed, and each
 round is written to the shared folder, which cuts the lineage.  Joins have one row
 per key on one side and plain exchanges on both, so adaptive execution splits a
 hot key.
@@ -41,8 +41,8 @@ from .wordhash import U, Words, mix, pieces
 BANDS, ROWS = 32, 6
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Frequent shingles that a task of the second round carries, at most.
-HOT_SHINGLES = 1_000_000
+#: Registers of the longer signatures of the second round, one bit each.
+SKETCH = 2048
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -182,45 +182,43 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(open_: DataFrame, sets: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """The untested pairs (a, b) of open documents of different labels that can reach the threshold.
-
-    The probability Jaccard is at most the shared part of either document's
-    weight.  So in any fixed order of all shingles the first shared one lies in
-    both documents' prefixes that hold the first ``1 - threshold`` of the weight.
-    The order puts frequent shingles last, so a passage that many documents share
-    brings no two of them together unless it is nearly all of both.
-    """
-    mine = materialise(sets.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "opensets")
-    total = mine.agg(F.sum(F.size("keys"))).first()[0] or 0
-    # At most HOT_SHINGLES can be this frequent: a bound for what the tasks carry.
-    least = max(8, -(-int(total) // HOT_SHINGLES))
-    hot = mine.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy("key").collect()
-    hot_keys, hot_times = np.array([r["key"] for r in hot], np.int64), np.array([r["n"] for r in hot], np.int64)
+def sketches(sets: DataFrame) -> DataFrame:
+    """``rep, s0, s1, ...``: one bit of each of ``SKETCH`` more registers, 64 to a column."""
+    columns = [f"s{i}" for i in range(SKETCH // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys = [], []
-            for i in range(batch.num_rows):
-                k, w = np.array(batch.column(1)[i].values), weigh(np.array(batch.column(2)[i].values))
-                at = np.searchsorted(hot_keys, k)
-                known = at < len(hot_keys)
-                known[known] = hot_keys[at[known]] == k[known]
-                times = np.zeros(len(k), np.int64)
-                times[known] = hot_times[at[known]]
-                order = np.lexsort((mix(k.astype(U)), times))
-                before = np.cumsum(w[order]) - w[order]
-                k = k[order[before <= (1 - threshold) * w.sum() + 1e-9]]
-                docs.append(np.full(len(k), batch.column(0)[i].as_py()))
-                keys.append(k)
-            yield pa.RecordBatch.from_pydict({"doc_id": np.concatenate(docs) if docs else pa.array([], pa.int64()), "key": np.concatenate(keys) if keys else pa.array([], pa.int64())})
-
-    prefixes = mine.mapInArrow(run, "doc_id long, key long").join(open_, F.col("doc_id") == F.col("rep")).select("key", "doc_id", "label")
-    prefixes = materialise(prefixes, "prefixes")
-    mixed = prefixes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    prefixes = materialise(prefixes.join(mixed, "key", "left_semi"), "mixedprefixes")
-    x, y = prefixes.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), prefixes.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    return x.join(y, "key").where("a > b and la <> lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                keys, times = part.column(1), part.column(2)
+                who = np.repeat(np.arange(part.num_rows), np.diff(keys.offsets.to_numpy()))
+                signed = prob_minhash(part.num_rows, who, keys.flatten().to_numpy().astype(U), weigh(times.flatten().to_numpy()), SKETCH)
+                bits = np.packbits((mix(signed) & U(1)).astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(columns)))], names=["rep", *columns])
+
+    return sets.mapInArrow(run, "rep long, " + ", ".join(f"{c} long" for c in columns))
+
+
+def across(entries: DataFrame, sets: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """The untested pairs (a, b) of one bucket and two labels that may reach the threshold.
+
+    ``entries`` are ``bucket, rep, label`` of the mixed buckets.  A pair comes up in
+    its smallest common bucket only, and only if the bits of its sketches differ
+    by no more than a pair at the threshold does with probability 1 - 2e-8.
+    """
+    mine = sets.join(entries.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    bits = sketches(mine)
+    of_rep = entries.groupBy("rep").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
+    rows = materialise(entries.join(materialise(bits.join(of_rep, "rep"), "sketches"), "rep"), "open")
+    names = [c for c in rows.columns if c != "bucket"]
+    x = rows.select("bucket", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = rows.select("bucket", *[F.col(c).alias(f"y_{c}") for c in names])
+    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits.columns[1:]), F.lit(0))
+    rate = (1 - threshold) / 2
+    most = SKETCH * rate + 5.5 * (SKETCH * rate * (1 - rate)) ** 0.5
+    first = F.element_at(F.array_intersect("x_buckets", "y_buckets"), 1)
+    pairs = x.join(y, "bucket").where((F.col("x_rep") > F.col("y_rep")) & (F.col("x_label") != F.col("y_label")) & (differ <= most) & (first == F.col("bucket")))
+    return pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).join(tested, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,11 +263,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     links = materialise(verify(pairs, sets, threshold), "verified")
     labels = materialise(components(links), "labels")
 
-    # Buckets that still hold several components: their documents meet again by their rarest shingles.
+    # Buckets that still hold several components: the pairs across them that longer signatures let pass.
     placed = hits.join(labels, hits.rep == labels.node, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
     placed = materialise(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = materialise(placed.join(mixed, "bucket", "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "open")
+    open_ = materialise(placed.join(mixed, "bucket", "left_semi"), "mixed")
     more = materialise(verify(materialise(across(open_, sets, pairs, threshold), "across"), sets, threshold), "reverified")
     if not more.isEmpty():
         labels = materialise(components(links.unionByName(more)), "labels2")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, neardup, quality, secrets, sql, tokens
+from . import ann, chat, decontam, html, langid, mixing, neardup, quality, secrets, sql, tokens
 from .common import remainder_of_id, table
 
 #: What conversation -1 says in both of its turns.
@@ -59,6 +59,11 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.chat_windows(turns))
 
 
+def op8_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text under piece_bpe_32k.model."""
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.tokenizer_path("piece_bpe_32k.model"))
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_random_indexing": op5_random_indexing,
         "op6_rank_order": op6_rank_order,
         "op7_chat_windows": op7_chat_windows,
+        "op8_template_text": op8_template_text,
         "op9_token_counts": op9_token_counts,
         "op10_poisson_mix": op10_poisson_mix,
     }

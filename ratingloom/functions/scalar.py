@@ -124,8 +124,8 @@ def valid_slug(c: Column) -> Column:
 
 
 def percent(p: Column, digits: int = 1) -> Column:
-    """A share as text, rounded before it is formatted."""
-    return F.format_string(f"%.{digits}f%%", F.round(p.cast("double") * 100, digits))
+    """A share as text, freed of its last bits and rounded before it is formatted."""
+    return F.format_string(f"%.{digits}f%%", F.round(F.round(p.cast("double") * 100, 9), digits))
 
 
 def standard_error(p: Column, n: Column) -> Column:

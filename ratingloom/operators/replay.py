@@ -217,6 +217,72 @@ def lineup_features(replayed: DataFrame, players: DataFrame, rich: Column | None
     return out.withColumns(aliases)
 
 
+def player_snapshot(replayed: DataFrame, rosters: DataFrame, k: float = K_TEAM) -> DataFrame:
+    """``player, rating, last_seen, n_maps`` after each player's last map (decaying rating, no performance term)."""
+    step = F.lit(k) * (F.col("team1_win") - elo_expectation(F.col("team1_elo_decay"), F.col("team2_elo_decay"))) / 5.0
+    rows = replayed.join(rosters.select("match_id", "game_id", "keys"), ["match_id", "game_id"])
+    long = rows.select(*KEYS, step.alias("step"), "decay", F.posexplode("keys").alias("at", "player"))
+    after = F.element_at("decay", F.col("at") + 1) + F.when(F.col("at") < 5, F.col("step")).otherwise(-F.col("step"))
+    return long.withColumn("after", after).groupBy("player").agg(F.max_by("after", F.struct(*KEYS)).alias("rating"), F.max("datetime").alias("last_seen"), F.count(F.lit(1)).alias("n_maps"))
+
+
+def decayed_team_snapshot(replayed: DataFrame, k: float = K_TEAM) -> DataFrame:
+    """``team, rating, last_seen`` after each team's last map (decaying rating)."""
+    step = F.lit(k) * (F.col("team1_win") - elo_expectation(F.col("team1_elo_decay"), F.col("team2_elo_decay")))
+    sides = F.array(
+        F.struct(F.col("key1").alias("team"), (F.col("team1_elo_decay") + step).alias("after")),
+        F.struct(F.col("key2").alias("team"), (F.col("team2_elo_decay") - step).alias("after")),
+    )
+    long = replayed.select(*KEYS, F.explode(sides).alias("s")).select(*KEYS, "s.*")
+    return long.groupBy("team").agg(F.max_by("after", F.struct(*KEYS)).alias("rating"), F.max("datetime").alias("last_seen"))
+
+
+def lineup_counts(players: DataFrame) -> DataFrame:
+    """``lineup, n_maps``: how often each exact set of five has played."""
+    return windows.lineups(players).groupBy("lineup").agg(F.count(F.lit(1)).alias("n_maps"))
+
+
+def matchup_features(pairs: DataFrame, rosters: DataFrame, teams: DataFrame, people: DataFrame, lineups: DataFrame, moment: str, scale: float = PLAYER_SCALE) -> DataFrame:
+    """The nine model inputs of hypothetical matchups at a moment, from snapshots; nothing is changed by asking.
+
+    ``pairs`` has ``team1, team2``; ``rosters`` has ``team, player``, five a team.
+    Unknown teams and players count as new: the initial rating, no gap.
+    """
+    from ..functions.scalar import decay, gap_days
+
+    at = F.lit(moment).cast("timestamp")
+    seen = rosters.join(people, "player", "left")
+    rating = decay(F.coalesce("rating", F.lit(INITIAL)), F.when(F.col("last_seen").isNull(), F.lit(0.0)).otherwise(gap_days(at, F.col("last_seen"))), PLAYER_HALF_LIFE)
+    roster = seen.withColumn("now", rating).groupBy("team").agg(
+        F.avg("now").alias("mean"),
+        F.stddev_pop("now").alias("std"),
+        F.count_if(F.coalesce("n_maps", F.lit(0)) == 0).cast("double").alias("cold"),
+        F.array_join(F.array_sort(F.collect_list("player")), "+").alias("lineup"),
+    )
+    roster = roster.join(lineups.withColumnRenamed("n_maps", "together"), "lineup", "left")
+    gap = F.when(F.col("last_seen").isNull(), F.lit(0.0)).otherwise(gap_days(at, F.col("last_seen")))
+    state = roster.join(teams, "team", "left").select("team", "mean", "std", "cold", F.coalesce("together", F.lit(0)).cast("double").alias("together"), gap.alias("gap"), decay(F.coalesce("rating", F.lit(INITIAL)), gap, TEAM_HALF_LIFE).alias("base"))
+    one, two = (state.select([F.col(c).alias(f"{c}{s}") for c in state.columns]) for s in (1, 2))
+    both = pairs.join(one, "team1").join(two, "team2")
+    values = {
+        "BaseElo_diff": F.col("base1") - F.col("base2"),
+        "PlayerAggElo_diff_scaled": scale * (F.col("mean1") - F.col("mean2")),
+        "team1_gap_days": F.col("gap1"),
+        "team2_gap_days": F.col("gap2"),
+        "player_elo_std_A_scaled": scale * F.col("std1"),
+        "player_elo_std_B_scaled": scale * F.col("std2"),
+        "lineup_prior_maps_diff": F.col("together1") - F.col("together2"),
+        "team1_player_cold_starts": F.col("cold1"),
+        "team2_player_cold_starts": F.col("cold2"),
+    }
+    return both.select("team1", "team2", *[values[c].alias(c) for c in MODEL_FEATURES])
+
+
+def cold_start_audit(entities: DataFrame, rating: str = "rating", n: str = "n_maps") -> DataFrame:
+    """How many entities never played, and how many stand at exactly the initial rating."""
+    return entities.agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(F.coalesce(F.col(n), F.lit(0)) == 0).alias("n_cold"), F.count_if(F.coalesce(F.col(rating), F.lit(INITIAL)) == INITIAL).alias("n_initial"))
+
+
 # The model's inputs, in their locked order.
 MODEL_FEATURES = ("BaseElo_diff", "PlayerAggElo_diff_scaled", "team1_gap_days", "team2_gap_days", "player_elo_std_A_scaled", "player_elo_std_B_scaled", "lineup_prior_maps_diff", "team1_player_cold_starts", "team2_player_cold_starts")
 

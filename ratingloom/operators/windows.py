@@ -110,6 +110,22 @@ def impact_score(players: DataFrame, columns: tuple[str, ...], within: list[str]
     return out.withColumn("impact", sum((F.coalesce(z, F.lit(0.0)) for z in zs), F.lit(0.0)))
 
 
+def is_final_map(rows: DataFrame, name: str = "is_final_map") -> DataFrame:
+    """Whether the row belongs to the last map of its match."""
+    last = F.max(F.struct("datetime", "game_id")).over(W.partitionBy("match_id"))
+    return rows.withColumn(name, F.struct("datetime", "game_id") == last)
+
+
+def rich_impact(players: DataFrame, plus: tuple[str, ...], minus: tuple[str, ...], within: list[str], name: str = "rich_impact") -> DataFrame:
+    """Sum of the scores in ``plus`` less those in ``minus``: only on a match's final map and only if all are there, else 0."""
+    whole = F.lit(True)
+    for c in (*plus, *minus):
+        whole = whole & F.col(c).isNotNull()
+    total = sum((safe_z(c, within) for c in plus), F.lit(0.0)) - sum((safe_z(c, within) for c in minus), F.lit(0.0))
+    flagged = is_final_map(players, "__final")
+    return flagged.withColumn(name, F.when(F.col("__final") & whole, total).otherwise(F.lit(0.0))).drop("__final")
+
+
 def centred(players: DataFrame, column: str, within: list[str], name: str = "relative") -> DataFrame:
     """The column, nulls filled by the group's median, else 0, minus the group's mean: sums to 0."""
     w = W.partitionBy(*within)

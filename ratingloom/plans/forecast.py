@@ -13,6 +13,7 @@ from ..operators import filters as FI
 from ..operators import joins as J
 from ..operators import model as M
 from ..operators import replay as RP
+from ..operators import reshape as R
 from ..operators import simulate as SIM
 from ..operators import uncertainty as U
 from ..operators import windows as W
@@ -37,8 +38,7 @@ def query(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- replays
 
-#: Teams that the recursive SQL keeps ratings of: the tables' suppliers number at most this.
-#: Elo by recursion over rows; ratings are a map from team to rating.
+#: Elo by recursion over rows; ratings are a list by team code.
 REPLAY = f"""{VALID_SQL},
 codes as (select team, row_number() over (order by team) as c from (select distinct team from sides)),
 maps as (select distinct map_name from valid),
@@ -133,6 +133,30 @@ def matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RP.model_features(_features(spark, sf_dir), keep=("match_id", "game_id"))
 
 
+@query("snapshot_matchups")
+def snapshot_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine inputs of hypothetical matchups of the fixture's teams, from the snapshots."""
+    rows = contests(spark, sf_dir)
+    people, rosters = _roster(rows)
+    replayed = RP.lineup_replay(rows, rosters)
+    teams = RP.decayed_team_snapshot(replayed)
+    lineup = people.withColumn("team", F.when(F.col("side") == 1, F.col("key1")).otherwise(F.col("key2")))
+    latest = lineup.groupBy("team", "slot").agg(F.max_by("player_key", F.struct("datetime", "match_id", "game_id", "side")).alias("player")).drop("slot")
+    names = [r["team"] for r in teams.orderBy("team").limit(8).collect()]
+    pairs = spark.createDataFrame(list(zip(names[::2], names[1::2], strict=False)), "team1 string, team2 string")
+    return RP.matchup_features(pairs, latest, teams, RP.player_snapshot(replayed, rosters), RP.lineup_counts(people), "2002-01-01 00:00:00")
+
+
+@query("cold_start_audit", f"with {VALID_SQL}, n as (select team, count(*) as n from sides group by team) select (select count(*) from supplier) + 20 as n_entities, (select count(*) from supplier) + 20 - count(*) as n_cold from n")
+def cold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture teams and twenty unknown ones; teams at the initial rating by chance aren't counted here."""
+    teams = RP.snapshot(_rated(spark, sf_dir))
+    n = read(spark, sf_dir, "supplier").count() + 20
+    asked = spark.range(n - teams.count()).select(F.concat(F.lit("new"), F.col("id").cast("string")).alias("team"))
+    every = teams.select("team", "rating", "n_maps").unionByName(asked.select("team", F.lit(None).cast("double").alias("rating"), F.lit(0).cast("long").alias("n_maps")))
+    return RP.cold_start_audit(every).drop("n_initial")
+
+
 @query("replay_parity", f"with {VALID_SQL} select count(*) as n_matched, 0.0::double as max_team1_elo_global, 0.0::double as max_team2_elo_global from valid")
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay of rows dealt differently equals the replay itself."""
@@ -209,6 +233,11 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(RP.weight_sweep(rows, "base", "player", "y", 2.0), "weight", "log_loss")
 
 
+@query("best_weight", f"with {SCORED}, d as (select y, ((p - 0.5) * 800)::double as base, ((q - 0.5) * 300)::double as player from scored), s as (select *, 1.0::double / (1.0::double + pow(10.0::double, -(w / 100.0::double * base + (1 - w / 100.0::double) * 2.0::double * player) / 400.0::double)) as x from d, range(0, 101) t(w)), l as (select round(w / 100.0::double, 6) as weight, round(avg(-(y * ln(x) + (1 - y) * ln(1 - x))), 6) as log_loss from s group by w) select * from l order by log_loss, weight limit 1")
+def best_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.best_row(sweep(spark, sf_dir), "log_loss", "weight")
+
+
 @query("halflife_grid")
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contests(spark, sf_dir)
@@ -450,7 +479,7 @@ def match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _percent(x: str, digits: int = 1) -> str:
-    return f"printf('%.{digits}f%%', round(({x})::double * 100, {digits}))"
+    return f"printf('%.{digits}f%%', round(round(({x})::double * 100, 9), {digits}))"
 
 
 @query("summary_table", f"""{STAGE_SQL} select team as "Team", {_percent(f'"QF" / {N_PATHS}.0')} as "P(QF)", {_percent(f'"SF" / {N_PATHS}.0')} as "P(SF)", {_percent(f'"Final" / {N_PATHS}.0')} as "P(Final)", {_percent(f'"Champion" / {N_PATHS}.0')} as "P(Champion)", {_percent(f'sqrt(("Champion" / {N_PATHS}.0) * (1 - "Champion" / {N_PATHS}.0) / {N_PATHS})', 2)} as "SE(Champion)" from stages""")

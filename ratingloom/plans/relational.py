@@ -290,6 +290,19 @@ def centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.centred(players(contests(spark, sf_dir)), "adr", [*ROSTER_KEYS, "side"]).select(*ROSTER_KEYS, "side", "slot", "relative"), "relative")
 
 
+@query("rich_impact", f"with {ROSTER_SQL}, z as (select *, {Z.format(c='adr')} as za, {Z.format(c='kast')} as zk, {Z.format(c='kddiff')} as zd from players window w as (partition by match_id, game_id)), f as (select match_id, max((datetime, game_id)) as last from players group by match_id) select z.match_id, z.game_id, side, slot, round(case when (z.datetime, z.game_id) = f.last and adr is not null and kast is not null and kddiff is not null then za + zk - zd else 0 end, 6) as rich_impact from z join f using (match_id)")
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.rich_impact(players(contests(spark, sf_dir)), ("adr", "kast"), ("kddiff",), ROSTER_KEYS).select(*ROSTER_KEYS, "side", "slot", "rich_impact"), "rich_impact")
+
+
+@query("resolution_report", f"with {ALIASES} select t.team, s.slot - 1 as slot, 'Club-' || (t.team * 5 + s.slot)::varchar as player, coalesce(b.key, 'name:club' || (t.team * 5 + s.slot)::varchar) as key, coalesce(n.n, 0) as n_games, coalesce(n.n, 0) = 0 as cold_start from range(0, 8) t(team), range(1, 6) s(slot) left join best b on b.alias = 'club' || (t.team * 5 + s.slot)::varchar left join (select key1 as key, count(*) as n from valid group by key1) n on n.key = b.key")
+def resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contests(spark, sf_dir)
+    index = ID.alias_index(rows, S.ascii_key(F.concat(F.lit("Club "), (F.col("team1_id") % 40).cast("string"))), "key1")
+    rosters = spark.createDataFrame([(t, [f"Club-{t * 5 + k}" for k in range(1, 6)]) for t in range(8)], "team long, players array<string>")
+    return ID.resolution_report(rosters, index, rows.withColumn("player_key", F.col("key1"))).drop("alias", "last_seen")
+
+
 @query("entity_gap_days", "select event_id, round(coalesce(greatest(0, (epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 86400000000.0::double), 0), 6) as gap_days from events")
 def gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").withColumn("datetime", F.col("ts"))

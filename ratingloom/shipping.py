@@ -12,8 +12,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bounds of one Arrow batch between the JVM and Python: a worker holds a few of them.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per Spark context, from wherever the driver has it."""
+    """Give the executors this package, once per Spark context, from wherever the driver has it.
+
+    Also lowers the session's Arrow batch bounds, so that a task's memory doesn't
+    grow with the length of the texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_ratingloom_shipped", False):
         return

@@ -48,9 +48,24 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write Parquet in the shared folder and read it back."""
+#: Rows of a few numbers each that may be broadcast once they are counted: some megabytes.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None, per_task: int = 100_000) -> DataFrame:
+    """Cut the lineage: write Parquet in the shared folder and read it back.
+
+    Where a bound of the rows is known, a task is given ``per_task`` of them, so a
+    small table isn't written by hundreds of tasks; partitions are only merged.
+    """
     spark = df.sparkSession
     path = work_dir(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_task)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if its counted rows are within the bound, else as it is."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df

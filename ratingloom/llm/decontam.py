@@ -18,7 +18,8 @@ executors in the task, whatever the size of the benchmark; documents are never
 shuffled.
 
 Defined results: null or blank texts and items match nothing; repeated documents
-and items give repeated rows; an item of one or two words is one seed; equal
+and items give repeated rows; an item of one or two words is too short to prove
+anything inside a text and matches only documents of just those words; equal
 scores take the first window; a null doc_id or item_id is returned as null;
 other columns are ignored.
 """

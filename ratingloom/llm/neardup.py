@@ -15,10 +15,11 @@ components.  In the buckets that then still hold several components, the pairs
 across components are compared by longer signatures (``SKETCH`` registers, a bit
 of each) and those that can reach the threshold are verified too.  So no link
 between different texts that share a bucket is lost, while a bucket of one large
-group costs a linear number of pairs.  Every list (buckets, pairs, links, labels) stays distributed, and each
-round is written to the shared folder, which cuts the lineage.  Joins have one row
-per key on one side and plain exchanges on both, so adaptive execution splits a
-hot key.
+group costs a linear number of pairs.  Every list (buckets, pairs, links, labels)
+stays distributed, and each round is written to the shared folder, which cuts the
+lineage.  Joins have one row per key on one side: that side is broadcast where
+its counted rows are few, else both have plain exchanges, so that adaptive
+execution splits a hot key.
 
 Defined results: texts without words (null, empty, blank) have no shingles and
 are classes of their own; a text of one to four words has one shingle; rows that
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, materialise
 from .wordhash import U, Words, mix, pieces
 
 BANDS, ROWS = 32, 6
@@ -159,7 +160,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>, times array<int>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float, n_pairs: int) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka"), F.col("times").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"), F.col("times").alias("tb"))
@@ -177,8 +178,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "ta", "kb", "tb")
-    # The sets travel in small batches, so a worker holds few of them at once.
+    both = left.join(bounded(pairs, n_pairs), "a").join(right, "b").select("a", "b", "ka", "ta", "kb", "tb")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -199,49 +199,55 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "rep long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def across(entries: DataFrame, sets: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+def across(entries: DataFrame, sets: DataFrame, tested: DataFrame, n_tested: int, threshold: float) -> DataFrame:
     """The untested pairs (a, b) of one bucket and two labels that may reach the threshold.
 
-    ``entries`` are ``bucket, rep, label`` of the mixed buckets.  A pair comes up in
-    its smallest common bucket only, and only if the bits of its sketches differ
-    by no more than a pair at the threshold does with probability 1 - 2e-8.
+    ``entries`` are ``bucket, rep, label, main`` of the mixed buckets, ``main`` being
+    the bucket's largest label, whose documents needn't meet each other.  A pair
+    comes up in its smallest common bucket only, and only if the bits of its sketches differ
+    by no more than a pair at the threshold does with probability 1 - 1.4e-5, which
+    is what the banding itself allows (a pair at 0.8 shares none of 32 bands of 6
+    with probability 6e-5).
     """
-    mine = sets.join(entries.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    bits = sketches(mine)
-    of_rep = entries.groupBy("rep").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
-    rows = materialise(entries.join(materialise(bits.join(of_rep, "rep"), "sketches"), "rep"), "open")
+    of_rep = materialise(entries.groupBy("rep").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "openreps", entries.count(), 100_000)
+    n = of_rep.count()
+    mine = sets.join(bounded(of_rep.select(F.col("rep").alias("doc_id")), n), "doc_id", "left_semi")
+    bits = sketches(mine.coalesce(max(1, -(-n // 250))))
+    rows = materialise(entries.join(materialise(bits.join(of_rep, "rep"), "sketches", n, 10_000), "rep"), "open")
     names = [c for c in rows.columns if c != "bucket"]
-    x = rows.select("bucket", *[F.col(c).alias(f"x_{c}") for c in names])
+    x = rows.where("label <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in names])
     y = rows.select("bucket", *[F.col(c).alias(f"y_{c}") for c in names])
     differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits.columns[1:]), F.lit(0))
     rate = (1 - threshold) / 2
-    most = SKETCH * rate + 5.5 * (SKETCH * rate * (1 - rate)) ** 0.5
+    most = SKETCH * rate + 4.2 * (SKETCH * rate * (1 - rate)) ** 0.5
     first = F.element_at(F.array_intersect("x_buckets", "y_buckets"), 1)
-    pairs = x.join(y, "bucket").where((F.col("x_rep") > F.col("y_rep")) & (F.col("x_label") != F.col("y_label")) & (differ <= most) & (first == F.col("bucket")))
-    return pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).join(tested, ["a", "b"], "left_anti")
+    # Two documents beside the largest label meet twice: once is enough.
+    once = (F.col("y_label") == F.col("y_main")) | (F.col("x_rep") > F.col("y_rep"))
+    pairs = x.join(y, "bucket").where((F.col("x_label") != F.col("y_label")) & once & (differ <= most) & (first == F.col("bucket")))
+    return pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct().join(bounded(tested, n_tested), ["a", "b"], "left_anti")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
     """``node, label``: the smallest node of each component, by alternating large and small stars.
 
     Every step is a grouping with partial aggregation and a join; the links end
     as a star around each smallest node.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    stamp = None
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links", n_links)
     while True:
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = materialise(large, "largestar")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large", 2 * n)
+        large = materialise(both.join(bounded(least, 2 * n), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "largestar", n)
         # small star: all edges point from u to smaller v
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "smallstar")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == stamp:
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small", n)
+        small = large.join(bounded(low, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialise(small, "smallstar", 2 * n)
+        # Done when every node points to one other and none is pointed to and points itself.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        bad = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)")
+        if not bad.agg(F.count(F.lit(1))).first()[0]:
             break
-        stamp = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -250,29 +256,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialise(signatures(docs, bands, rows, shingle), "signatures")
     worded = found.where("doc_id is not null and size(bands) > 0")
-    copies = materialise(worded.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
-    one = worded.join(copies, "digest").where("doc_id = rep").groupBy("rep").agg(F.min("bands").alias("bands"))
-    entries = materialise(one.select("rep", F.explode("bands").alias("bucket")), "entries")
+    n_docs = found.count()
+    copies = materialise(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "copies", n_docs, 10_000)
+    n_entries = copies.count() * bands
+    entries = copies.select("rep", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other")
-    buckets = materialise(buckets.select("bucket", "centre"), "buckets")
-    hits = materialise(entries.join(buckets, "bucket"), "hits")
-    pairs = materialise(hits.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    wanted = materialise(hits.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialise(shingle_sets(texts, shingle), "sets")
-    links = materialise(verify(pairs, sets, threshold), "verified")
-    labels = materialise(components(links), "labels")
+    buckets = materialise(buckets.select("bucket", "centre"), "buckets", n_entries, 400_000)
+    hits = materialise(entries.join(bounded(buckets, buckets.count()), "bucket"), "hits", n_entries, 400_000)
+    n_hits = hits.count()
+    pairs = materialise(hits.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs", n_hits)
+    n_pairs = pairs.count()
+    wanted = materialise(hits.select(F.col("rep").alias("doc_id")).distinct(), "wanted", n_hits)
+    n_wanted = wanted.count()
+    texts = docs.join(bounded(wanted, n_wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = materialise(shingle_sets(texts, shingle), "sets", n_wanted, 1000)
+    links = materialise(verify(pairs, sets, threshold, n_pairs), "verified", n_pairs, 4000)
+    labels = materialise(components(links, n_pairs), "labels", n_pairs)
 
     # Buckets that still hold several components: the pairs across them that longer signatures let pass.
-    placed = hits.join(labels, hits.rep == labels.node, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = materialise(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    more = materialise(verify(materialise(across(open_, sets, pairs, threshold), "across"), sets, threshold), "reverified")
-    if not more.isEmpty():
-        labels = materialise(components(links.unionByName(more)), "labels2")
-
-    of_copy = copies.join(labels, copies.rep == labels.node, "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
+    placed = hits.join(bounded(labels, 2 * n_pairs), hits.rep == labels.node, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    placed = materialise(placed, "placed", n_hits, 400_000)
+    sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "main")
+    mixed = materialise(mixed, "mixed", n_hits, 400_000)
+    open_ = materialise(placed.join(bounded(mixed, mixed.count()), "bucket"), "open", n_hits, 400_000)
+    crossing = materialise(across(open_, sets, pairs, n_pairs, threshold), "across")
+    n_crossing = crossing.count()
+    more = materialise(verify(crossing, sets, threshold, n_crossing), "reverified", n_crossing, 4000)
+    n_more = more.count()
+    if n_more:
+        # Only the labels that the new links join are numbered again.
+        name = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        joined = more.join(name[0], "a", "left").join(name[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        merged = materialise(components(joined, n_more), "merged", 2 * n_more).select(F.col("node").alias("old"), F.col("label").alias("new"))
+        merged = bounded(merged, 2 * n_more)
+        kept = labels.join(merged, labels.label == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+        fresh = merged.join(labels.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+        labels = materialise(kept.unionByName(fresh), "relabelled", 2 * (n_pairs + n_more))
+
+    of_copy = copies.join(bounded(labels, 2 * (n_pairs + n_more)), copies.rep == labels.node, "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     of_copy = materialise(of_copy, "classes")
     plain = found.where("doc_id is null or size(bands) = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.where("doc_id is not null and size(bands) > 0").select("doc_id", "digest").join(of_copy, "digest").select("doc_id", "class_id").unionByName(plain)
+    return worded.select("doc_id", "digest").join(of_copy, "digest").select("doc_id", "class_id").unionByName(plain)

@@ -21,7 +21,7 @@ K_PERFORMANCE = 0.0
 PLAYER_SCALE = 2.7908753241263775
 CLIP = 1e-12
 Z_EPSILON = 1e-12
-#: Words that team names carry besides the name.
+# Words that team names carry besides the name.
 TEAM_FILLERS = ("team", "esports", "gaming", "club", "cs2")
 
 

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from ..functions.scalar import is_boolean_text, loose_number, strict_boolean
 
 # What a pre-event table may hold, and parts of names that betray the outcome.
-IDENTIFIERS = ("match_id", "game_id", "team1_id", "team2_id", "tournament", "team1", "team2", "team1_join_key", "team2_join_key")
+IDENTIFIERS = ("match_id", "game_id", "tournament", "team1_id", "team1", "team2_id", "team2", "map_id", "team1_join_key", "team2_join_key")
 CONTEXT = ("datetime", "map_name", "team1_win")
-LEAK_TOKENS = ("score", "winner", "result", "outcome", "rating_game", "kills", "deaths", "adr", "kast", "kddiff", "round_diff_game", "final_map", "total_rounds")
+PROFILE_RATES = ("pistol_round_win_rate", "ct_win_rate", "t_win_rate")
+PROFILE_COUNTS = ("n_pistol_rounds", "n_ct_rounds", "n_t_rounds")
+LEAK_TOKENS = ("score", "kills", "deaths", "assists", "adr", "kast", "kddiff", "games_played", "player1", "player2", "player3", "player4", "player5")
+MODEL_LEAK_TOKENS = ("impact", "relative_performance", "rich_stats_final_map")
+
+PROFILE = tuple(f"team{s}_{c}" for s in (1, 2) for pair in zip(PROFILE_RATES, PROFILE_COUNTS, strict=True) for c in pair)
 
 
 class ContractError(ValueError):
@@ -48,8 +53,9 @@ def assert_no_leaks(df: DataFrame, tokens: tuple[str, ...] = LEAK_TOKENS) -> Dat
 
 
 def coerce_contests(df: DataFrame) -> DataFrame:
-    """Adds ``total`` (strict boolean of ``is_total``) and ``bo`` (loose number of ``best_of``)."""
-    return df.withColumns({"total": strict_boolean(F.col("is_total")), "bo": loose_number(F.col("best_of"))})
+    """Adds ``total`` (strict boolean of ``is_total``) and ``bo`` (loose number of ``bestOf`` or ``best_of``)."""
+    length = "bestOf" if "bestOf" in df.columns else "best_of"
+    return df.withColumns({"total": strict_boolean(F.col("is_total")), "bo": loose_number(F.col(length))})
 
 
 def is_valid() -> Column:
@@ -162,7 +168,7 @@ class Contract:
 
 def contest_contract() -> Contract:
     return Contract(
-        columns=["match_id", "game_id", "datetime", "map_name", "is_total", "best_of", "score1_game", "score2_game", "team1_id", "team2_id", "team1_win"],
+        columns=["match_id", "game_id", "datetime", "map_name", "is_total", "score1_game", "score2_game", "team1_id", "team2_id", "team1_win"],
         rules={
             "no_tie": F.col("score1_game") != F.col("score2_game"),
             "binary_target": F.col("team1_win").isin(0, 1),

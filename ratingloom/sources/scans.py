@@ -18,7 +18,7 @@ CONTEST_SCHEMA = StructType(
         StructField("datetime", TimestampNTZType()),
         StructField("map_name", StringType()),
         StructField("is_total", StringType()),
-        StructField("best_of", StringType()),
+        StructField("bestOf", StringType()),
         StructField("score1_game", StringType()),
         StructField("score2_game", StringType()),
         StructField("team1_id", LongType()),

@@ -6,7 +6,7 @@ from ratingloom.operators import filters as FI
 
 
 def contests(spark, rows):
-    return spark.createDataFrame(rows, "match_id long, game_id long, datetime string, map_name string, is_total string, best_of string, score1_game long, score2_game long, team1_id long, team2_id long, team1_win int").withColumn("datetime", F.to_timestamp_ntz("datetime"))
+    return spark.createDataFrame(rows, "match_id long, game_id long, datetime string, map_name string, is_total string, bestOf string, score1_game long, score2_game long, team1_id long, team2_id long, team1_win int").withColumn("datetime", F.to_timestamp_ntz("datetime"))
 
 
 ROWS = [

@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     n_wanted = wanted.count()
     texts = docs.join(bounded(wanted, n_wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = materialise(shingle_sets(texts, shingle), "sets", n_wanted, 1000)
-    links = materialise(verify(pairs, sets, threshold, n_pairs), "verified", n_pairs, 4000)
+    links = materialise(verify(pairs, sets, threshold, n_pairs), "verified", n_pairs, 1000)
     labels = materialise(components(links, n_pairs), "labels", n_pairs)
 
     # Buckets that still hold several components: the pairs across them that longer signatures let pass.
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     open_ = materialise(placed.join(bounded(mixed, mixed.count()), "bucket"), "open", n_hits, 400_000)
     crossing = materialise(across(open_, sets, pairs, n_pairs, threshold), "across")
     n_crossing = crossing.count()
-    more = materialise(verify(crossing, sets, threshold, n_crossing), "reverified", n_crossing, 4000)
+    more = materialise(verify(crossing, sets, threshold, n_crossing), "reverified", n_crossing, 1000)
     n_more = more.count()
     if n_more:
         # Only the labels that the new links join are numbered again.

@@ -101,15 +101,20 @@ def _lineups(spark: SparkSession, sf_dir: str, cutoff: str | None = None) -> tup
 @query(
     "decay_replay_team",
     f"""with recursive {VALID_SQL},
+codes as (select team, row_number() over (order by team) as c from (select distinct team from sides)),
+coded as (select v.row_id, v.match_id, v.game_id, epoch_us(v.datetime) as now, v.team1_win::double as y, a.c as a, b.c as b from valid v join codes a on a.team = v.key1 join codes b on b.team = v.key2 where v.datetime < timestamp '1996-01-01'),
 walk as (
- select -1::bigint as row_id, null::bigint as match_id, null::bigint as game_id, 0.0::double as da, 0.0::double as db, map {{}}::map(varchar, double) as r, map {{}}::map(varchar, bigint) as seen
+ select -1::bigint as row_id, null::bigint as match_id, null::bigint as game_id, 0.0::double as da, 0.0::double as db,
+  (select list_transform(range(1, count(*) + 1), lambda x: 1500.0::double) from codes) as r, (select list_transform(range(1, count(*) + 1), lambda x: null::bigint) from codes) as seen
  union all
- select row_id, match_id, game_id, da, db, map_concat(r, map {{key1: da + d, key2: db - d}}), map_concat(seen, map {{key1: now, key2: now}}) from (
-  select *, 24.0::double * (team1_win - 1.0::double / (1.0::double + pow(10.0::double, (db - da) / 400.0::double))) as d from (
-   select v.row_id, v.match_id, v.game_id, v.key1, v.key2, v.team1_win, epoch_us(v.datetime) as now, w.r, w.seen,
-    1500.0::double + (coalesce(w.r[v.key1], 1500.0::double) - 1500.0::double) * pow(2.0::double, -greatest(0, epoch_us(v.datetime) - coalesce(w.seen[v.key1], epoch_us(v.datetime))) / 86400000000.0::double / 180.0::double) as da,
-    1500.0::double + (coalesce(w.r[v.key2], 1500.0::double) - 1500.0::double) * pow(2.0::double, -greatest(0, epoch_us(v.datetime) - coalesce(w.seen[v.key2], epoch_us(v.datetime))) / 86400000000.0::double / 180.0::double) as db
-   from walk w join valid v on v.row_id = w.row_id + 1 where v.datetime < timestamp '1996-01-01')))
+ select row_id, match_id, game_id, da, db,
+  list_concat(list_concat(r[1:least(a, b) - 1], [case when a < b then da + d else db - d end]), list_concat(r[least(a, b) + 1:greatest(a, b) - 1], list_concat([case when a < b then db - d else da + d end], r[greatest(a, b) + 1:]))),
+  list_concat(list_concat(seen[1:least(a, b) - 1], [now]), list_concat(seen[least(a, b) + 1:greatest(a, b) - 1], list_concat([now], seen[greatest(a, b) + 1:]))) from (
+  select *, 24.0::double * (y - 1.0::double / (1.0::double + pow(10.0::double, (db - da) / 400.0::double))) as d from (
+   select v.*, w.r, w.seen,
+    1500.0::double + (w.r[v.a] - 1500.0::double) * pow(2.0::double, -greatest(0, v.now - coalesce(w.seen[v.a], v.now)) / 86400000000.0::double / 180.0::double) as da,
+    1500.0::double + (w.r[v.b] - 1500.0::double) * pow(2.0::double, -greatest(0, v.now - coalesce(w.seen[v.b], v.now)) / 86400000000.0::double / 180.0::double) as db
+   from walk w join coded v on v.row_id = w.row_id + 1)))
 select match_id, game_id, round(da, 6) as team1_elo_decay, round(db, 6) as team2_elo_decay from walk where row_id >= 0""",
 )
 def decay_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

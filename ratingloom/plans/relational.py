@@ -114,14 +114,14 @@ def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROFILE = f"""{VALID_SQL}, profile as (
- select key1 as team, map_name, case when part % 4 = 0 then null else discount end as rate, part % 3 as weight from valid),
+ select key1 as team, map_name, case when part % 4 = 0 then null else discount * 0.7310585786::double end as rate, part % 3 as weight from valid),
 collapsed as (
  select team, map_name, sum(case when rate is not null and weight > 0 then rate * weight end) / nullif(sum(case when rate is not null and weight > 0 then weight else 0 end), 0) as rate,
   sum(case when rate is not null and weight > 0 then weight else 0 end)::bigint as weight from profile group by team, map_name)"""
 
 
 def _profile(rows: DataFrame) -> DataFrame:
-    raw = rows.select(F.col("key1").alias("team"), "map_name", F.when(F.col("part") % 4 != 0, F.col("discount")).alias("rate"), (F.col("part") % 3).alias("weight"))
+    raw = rows.select(F.col("key1").alias("team"), "map_name", F.when(F.col("part") % 4 != 0, F.col("discount") * 0.7310585786).alias("rate"), (F.col("part") % 3).alias("weight"))
     return A.weighted_collapse(raw, ["team", "map_name"], {"rate": "weight"})
 
 

@@ -2,9 +2,9 @@
 
 1.  The document frequency of every three-word gram of the test items is counted
     over all documents.
-2.  Of each run of ``SEED_RUN`` neighbouring grams of an item the rarest becomes a
-    seed, so seeds are spread over the item and an item made of common words only
-    keeps seeds too (nothing is cut off at a frequency).
+2.  Every gram of an item that some document holds becomes a seed, rare or frequent;
+    only those of frequency 0 lead nowhere and are dropped.  So an edited copy is met
+    as long as it keeps three neighbouring words of the item.
 3.  Seeds join documents to items; around a seed the window of the document that
     the item can cover is aligned with it, word by word, by Smith-Waterman (match
     2, mismatch -1, gap -1).  The score is divided by that of an exact copy.
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .wordhash import U, Words, pieces
 
 GRAM = 3
-SEED_RUN = 4
 MIN_SCORE = 0.35
 BLOCK_BYTES = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -139,15 +138,9 @@ def frequencies(docs: DataFrame, index: GramIndex) -> dict[int, int]:
 
 
 def choose_seeds(items: Items, index: GramIndex, df: dict[int, int]) -> None:
-    """Keep of each run of neighbouring grams of an item the rarest."""
+    """Keep every gram of an item that occurs in the documents."""
     _, at = index.find(items.grams)
-    n = np.array([df.get(int(a), 0) for a in at], np.int64)
-    run = items.place // SEED_RUN
-    order = np.lexsort((items.place, n, run, items.owner))
-    first = np.ones(len(order), bool)
-    if len(order):
-        first[1:] = (items.owner[order][1:] != items.owner[order][:-1]) | (run[order][1:] != run[order][:-1])
-    items.keep(np.sort(order[first]))
+    items.keep(np.flatnonzero(np.isin(at, np.fromiter(df, np.int64, len(df)))))
 
 
 def best_match(words: np.ndarray, item: np.ndarray, begins: np.ndarray, least: float) -> tuple[float, int, int] | None:

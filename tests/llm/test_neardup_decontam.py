@@ -154,6 +154,20 @@ def test_planted_passages_are_found_and_others_left(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_a_lone_edited_copy_of_each_item_is_found(spark):
+    rng = random.Random(30)
+    words = [f"v{i}" for i in range(3000)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(15, 60))] for _ in range(60)]
+    edited = [[w if rng.random() >= 0.3 else rng.choice(words) for w in item] for item in items]
+    alignable = {i for i, (a, b) in enumerate(zip(items, edited, strict=True)) if smith_waterman(a, b) >= 0.35 * 2 * len(a) and any(a[k : k + 3] == b[k : k + 3] for k in range(len(a) - 2))}
+    assert len(alignable) > 50
+    pad = lambda: [rng.choice(words) for _ in range(100)]
+    df = spark.createDataFrame([(i, " ".join(pad() + e + pad())) for i, e in enumerate(edited)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()}
+    assert {(i, i) for i in alignable} <= got and all(d == i for d, i in got)
+
+
 def test_verbatim_passages_of_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = {r.item_id: r.text for r in bench.collect()}

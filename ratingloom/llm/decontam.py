@@ -7,7 +7,9 @@
     as long as it keeps three neighbouring words of the item.
 3.  Seeds join documents to items; around a seed the window of the document that
     the item can cover is aligned with it, word by word, by Smith-Waterman (match
-    2, mismatch -1, gap -1).  The score is divided by that of an exact copy.
+    2, mismatch -1, gap -1).  The score is divided by that of an exact copy.  A match
+    reaches the least share of it or, whatever the item's length, the score of
+    ``PASSAGE_WORDS`` words in a row, so a verbatim part of a long item counts.
 
 Before the alignment two exact shortcuts: a verbatim occurrence has score 1, and a
 window with fewer shared words than the least score needs cannot reach it.
@@ -37,6 +39,7 @@ from .wordhash import U, Words, pieces
 
 GRAM = 3
 MIN_SCORE = 0.35
+PASSAGE_WORDS = 13
 BLOCK_BYTES = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -147,6 +150,7 @@ def best_match(words: np.ndarray, item: np.ndarray, begins: np.ndarray, least: f
     """The best alignment of the item near the places where seeds say it begins."""
     m = len(item)
     full = MATCH * m
+    needed = min(least * full, MATCH * PASSAGE_WORDS)
     for b in begins:
         if b >= 0 and b + m <= len(words) and np.array_equal(words[b : b + m], item):
             return 1.0, int(b), int(b) + m
@@ -163,10 +167,10 @@ def best_match(words: np.ndarray, item: np.ndarray, begins: np.ndarray, least: f
     spans.append((low, high))
     for start, end in spans:
         window = words[start:end]
-        if MATCH * int(np.isin(item, window).sum()) < least * full:
+        if MATCH * int(np.isin(item, window).sum()) < needed:
             continue
         score, a, z = align(item, window)
-        if score >= least * full and (best is None or score / full > best[0]):
+        if score >= needed and (best is None or score / full > best[0]):
             best = (score / full, start + a, start + z)
     return best
 
@@ -211,7 +215,8 @@ def matches(items: Items, texts: pa.Array, least: float) -> Iterator[tuple[int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it holds.
 
-    ``doc_id, item_id, score`` (``least`` to 1), and the passage's UTF-8 bytes
+    ``doc_id, item_id, score`` (share of an exact copy's; below ``least`` where a
+    passage of a long item matches), and the passage's UTF-8 bytes
     ``start_byte, end_byte`` and ``n_words`` of the best alignment.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")

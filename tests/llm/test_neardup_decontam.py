@@ -168,6 +168,18 @@ def test_a_lone_edited_copy_of_each_item_is_found(spark):
     assert {(i, i) for i in alignable} <= got and all(d == i for d, i in got)
 
 
+def test_a_verbatim_part_of_a_long_item_is_found():
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(59), text(200), text(200)]
+    parts = [items[0][30:50], items[1][70:130], items[2][100:112]]
+    docs = pa.array([" ".join(text(80) + part + text(80)) for part in parts])
+    listed = decontam.Items([0, 1, 2], [" ".join(item) for item in items])
+    got = {(row, i): (score, n) for row, i, score, _, _, n in decontam.matches(listed, docs, decontam.MIN_SCORE)}
+    assert got == {(0, 0): (pytest.approx(20 / 59), 20), (1, 1): (pytest.approx(0.3), 60)}
+
+
 def test_verbatim_passages_of_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = {r.item_id: r.text for r in bench.collect()}

@@ -10,9 +10,13 @@ It is trained from labelled findings: a DataFrame or list of ``Finding`` (value,
 text before and after, path, label).  ``labelled_findings`` makes a seeded set of
 ``FINDINGS`` of them, used where no other is given.
 
+No pattern has an upper length: a value goes on to its delimiter, a key block to
+its END line (a block without one is none), and every feature sees all of it.
+
 Defined results: null and empty texts have no findings; a null id or path is
-returned as null and read as an empty path; overlapping candidates are one (the
-one that starts first, then the longer); repeated rows have repeated findings;
+returned as null and read as an empty path; overlapping candidates are one, from
+the first start to the last end, under the rule of the one that starts first
+(then the stronger rule, then the longer); repeated rows have repeated findings;
 texts of any length are scanned whole; other columns are ignored.
 """
 
@@ -22,6 +26,7 @@ import hashlib
 import math
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,9 +64,9 @@ KNOWN = re.compile(
     r"|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}"
 )
 RUN = re.compile(r"[A-Za-z0-9+/_\-.]{16,}={0,2}")
-ASSIGNED = re.compile(r"[=:]>?[ \t]{0,4}([\"'`]?)([^\s\"'`<>;,&]{6,512})")
-IN_URL = re.compile(r"://[^\s:/@]{1,64}:([^\s/@]{3,128})@")
-KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----.{16,8192}?-----END [A-Z ]{0,20}PRIVATE KEY-----", re.S)
+ASSIGNED = re.compile(r"[=:]>?[ \t]{0,4}([\"'`]?)([^\s\"'`<>;,&]{6,})")
+IN_URL = re.compile(r"://[^\s:/@]+:([^\s/@]{3,})@")
+KEY_LINE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 KEY_NAME = re.compile(r"(?:passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)[A-Za-z0-9_.\-]{0,24}[\"'`\]]{0,2}\s{0,4}$", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _WORD = re.compile(r"[A-Za-z]{3,}")
@@ -80,13 +85,24 @@ class Finding:
     is_secret: int = 0
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """The spans from each BEGIN line to the END line that comes before any other BEGIN."""
+    begin = None
+    for m in KEY_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m.start()
+        elif begin is not None:
+            yield begin, m.end()
+            begin = None
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the candidates, in order, none overlapping."""
     found: list[tuple[int, int, int, str]] = []
     for m in KNOWN.finditer(text):
         found.append((m.start(), m.end(), 0, "known"))
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), 0, "key_block") for m in KEY_BLOCK.finditer(text)]
+        found += [(a, b, 0, "key_block") for a, b in key_blocks(text)]
     if "://" in text:
         found += [(m.start(1), m.end(1), 0, "url") for m in IN_URL.finditer(text)]
     if "=" in text or ":" in text:
@@ -103,6 +119,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     kept: list[tuple[int, int, str]] = []
     for start, end, _, rule in found:
         if kept and start < kept[-1][1]:
+            kept[-1] = (kept[-1][0], max(end, kept[-1][1]), kept[-1][2])
             continue
         if end > start:
             kept.append((start, end, rule))
@@ -134,7 +151,7 @@ class Markov:
 
     @staticmethod
     def codes(value: str) -> np.ndarray:
-        raw = np.frombuffer(value[:512].encode("ascii", "replace"), np.uint8).astype(np.int64) - 32
+        raw = np.frombuffer(value.encode("ascii", "replace"), np.uint8).astype(np.int64) - 32
         return np.clip(raw, 0, 95)
 
     @classmethod
@@ -155,11 +172,11 @@ FEATURES = ("log_length", "digits", "upper", "lower", "symbols", "entropy", "cla
 
 
 def features(f: Finding, markov: Markov) -> list[float]:
-    value = f.value[:4096]
+    value = f.value
     n = max(1, len(value))
     kinds = [_kind(c) for c in value]
     share = [kinds.count(k) / n for k in (2, 1, 0, 3)]
-    counts = np.array([value.count(c) for c in set(value)], float) / n
+    counts = np.array(list(Counter(value).values()), float) / n
     entropy = float(-(counts * np.log2(counts)).sum())
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n
     before, after, path, low = f.before[-NEAR:].lower(), f.after[:NEAR].lower(), (f.path or "").lower(), value.lower()
@@ -170,7 +187,7 @@ def features(f: Finding, markov: Markov) -> list[float]:
         float(f.rule == "assigned"), float(f.rule == "known"), float(f.rule in ("key_block", "url")),
         float(any(w in before for w in FOR_WORDS)), float(any(w in before or w in after[:16] for w in AGAINST_WORDS)),
         float(any(w in path for w in FOR_PATHS)), float(any(w in path for w in AGAINST_PATHS)),
-        float(f.before[-1:] in "\"'`" and bool(f.before)), len(set(value)) / n, float(any(w in low for w in AGAINST_WORDS[11:])),
+        float(f.before[-1:] in "\"'`" and bool(f.before)), len(counts) / n, float(any(w in low for w in AGAINST_WORDS[11:])),
         float(not f.before.strip()),
     ]
 

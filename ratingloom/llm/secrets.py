@@ -64,7 +64,8 @@ KNOWN = re.compile(
     r"|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}"
 )
 RUN = re.compile(r"[A-Za-z0-9+/_\-.]{16,}={0,2}")
-ASSIGNED = re.compile(r"[=:]>?[ \t]{0,4}([\"'`]?)([^\s\"'`<>;,&]{6,})")
+SIGN = re.compile(r"(?<=[\w.\-\"'`\]\s])[=:]>?[ \t]{0,4}[\"'`]?")
+VALUE = re.compile(r"[^\s\"'`<>;,&]{6,}")
 IN_URL = re.compile(r"://[^\s:/@]+:([^\s/@]{3,})@")
 KEY_LINE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 KEY_NAME = re.compile(r"(?:passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)[A-Za-z0-9_.\-]{0,24}[\"'`\]]{0,2}\s{0,4}$", re.I)
@@ -96,6 +97,32 @@ def key_blocks(text: str) -> Iterator[tuple[int, int]]:
             begin = None
 
 
+def assignments(text: str) -> list[tuple[int, int]]:
+    """The spans of the values that follow a key name and a sign.
+
+    Every sign is looked at, also those inside a value.  A value that holds a
+    further assignment is cut before that one's key name; the parts are values.
+    """
+    found: list[tuple[int, int]] = []
+    run = 0  # where the value characters that the last value begins end
+    for sign in SIGN.finditer(text):
+        key = KEY_NAME.search(text, max(0, sign.start() - NEAR), sign.start())
+        if key is None:
+            continue
+        start = sign.end()
+        if start >= run:
+            value = VALUE.match(text, start)
+            if value is None:
+                continue
+            run = value.end()
+        elif run - start < 6:
+            continue
+        if found and key.start() < found[-1][1]:
+            found[-1] = (found[-1][0], max(found[-1][0], key.start()))
+        found.append((start, run))
+    return [(a, a + len(text[a:b].rstrip(".)]}"))) for a, b in found]
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the candidates, in order, none overlapping."""
     found: list[tuple[int, int, int, str]] = []
@@ -106,9 +133,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if "://" in text:
         found += [(m.start(1), m.end(1), 0, "url") for m in IN_URL.finditer(text)]
     if "=" in text or ":" in text:
-        for m in ASSIGNED.finditer(text):
-            if KEY_NAME.search(text, max(0, m.start() - NEAR), m.start()):
-                found.append((m.start(2), m.start(2) + len(m[2].rstrip(".)]}")), 1, "assigned"))
+        found += [(a, b, 1, "assigned") for a, b in assignments(text)]
     for m in RUN.finditer(text):
         value = m[0].strip(".-/")
         digits = sum(map(value.count, string.digits))

@@ -98,6 +98,17 @@ def test_every_feature_sees_the_whole_value(detector):
     assert all(short[at(k)] != long[at(k)] for k in ("log_length", "digits", "upper", "symbols", "entropy", "transitions"))
 
 
+def test_assignments_inside_other_values():
+    found = lambda t: [t[a:b] for a, b, _ in secrets.candidates(t)]
+    assert found("https://h.example/p?token=Zx81kQpLm4") == ["Zx81kQpLm4"]
+    assert found("https://h.example/p?a=1&token=Zx81kQpLm4&b=2") == ["Zx81kQpLm4"]
+    assert found("x:password=hunter2222 and y") == ["hunter2222"]
+    assert found("id=7:pwd='s3cr3t!x'") == ["s3cr3t!x"]
+    assert found("auth: https://h.example/p?token=Zx81kQpLm4") == ["https://h.example/p?", "Zx81kQpLm4"]
+    assert found('{"token":"abc123def","n":"password":"qwe987rty"}') == ["abc123def", "qwe987rty"]
+    assert len(secrets.assignments("token=" * 50_000 + "abcdef12")) >= 1
+
+
 def test_tables_secrets_are_all_found(spark, detector):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pattern = r'token = "[0-9a-f]{40}"|password=[0-9a-f]{18}|AKIA[A-Z0-9]{16}'

@@ -3,8 +3,8 @@
 Pages of a host are taken in groups of about ``GROUP_PAGES`` (a host with more is
 split by a hash of the page, so no host is one task).  In a group:
 
-1.  Every page becomes tokens: tags and, outside explicit article regions, words,
-    each together with its path of open elements (its role).
+1.  Every page becomes tokens: tags and words, each together with its path of open
+    elements (its role).
 2.  Tokens with the same occurrence vector over the group's distinct pages form an
     equivalence class.  A class is valid if it is in ``SUPPORT`` of the pages, at
     least three, and its tokens keep one order in all of them; tokens out of order
@@ -12,14 +12,18 @@ split by a hash of the page, so no host is one task).  In a group:
     inside one gap nor around all of it, is dropped.
 3.  The valid classes are the template; what lies between its tokens are slots.  A
     block whose words all belong to the template is no slot but part of the frame.
-4.  The main slots are those inside ``article`` or ``main`` elements.  Where a page
-    has none, they are the slots under the deepest element path that holds most of
-    the slot text of the group.  Slots under navigation, headers, footers, asides,
-    forms, scripts, styles, hidden elements, or elements whose class, id or role
-    names such a part, an advert, a notice or comments, are never main slots.
-
-The words of an article region are slot data whatever their vectors, so sentences
-that pages share are never taken for template.
+4.  The main slots are those inside ``article`` or ``main`` elements if these hold
+    at least half of the page's slot text.  Elsewhere (no such element, teaser
+    cards) they are the slots under the deepest element path that holds most of
+    the slot text of the group's pages of that kind, and those of a lone ``article``
+    or ``main``.  Slots under navigation, headers, footers, asides, forms, scripts,
+    styles, hidden elements, or elements whose class, id or role names such a part,
+    an advert, a notice or comments, are never main slots.
+
+Inside an article region a block of template words is frame only if its path holds
+no other text on any page of the group: a menu that all pages repeat goes, a
+sentence that pages share between their own ones stays.  A page whose regions are
+template altogether keeps them, unless more slot text lies outside.
 
 Blocks end at block-level tags; a line break tag is white space.  Character
 references are decoded, white space runs become one space, blocks are joined by
@@ -36,7 +40,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -73,14 +77,14 @@ class Block:
     path: tuple[str, ...]
     main: bool
     text: str = ""
-    words: list[int] = field(default_factory=list)  # places in the page's tokens
+    words: range = range(0)  # places in the page's tokens
 
 
 @dataclass
 class Page:
     tokens: list[tuple[str, str]]
     blocks: list[Block]
-    has_main: bool
+    regions: int  # outermost article or main elements
 
 
 def _attributes(tag: str, name: str) -> dict[str, str]:
@@ -114,7 +118,7 @@ def parse(html: str) -> Page:
     stack: list[tuple[str, str, bool, bool]] = []  # name, label, frame, main
     parts: list[str] = []
     path, frame, main = "", False, False
-    has_main = False
+    regions = 0
 
     def close() -> None:
         if parts:
@@ -122,11 +126,8 @@ def parse(html: str) -> Page:
             parts.clear()
             if text:
                 labels = tuple(s[1] for s in stack)
-                block = Block(labels, main, text)
-                if not main:
-                    block.words = list(range(len(tokens), len(tokens) + text.count(" ") + 1))
-                    tokens.extend((path, w) for w in text.split(" "))
-                blocks.append(block)
+                blocks.append(Block(labels, main, text, range(len(tokens), len(tokens) + text.count(" ") + 1)))
+                tokens.extend((path, w) for w in text.split(" "))
 
     def state() -> None:
         nonlocal path, frame, main
@@ -192,10 +193,10 @@ def parse(html: str) -> Page:
         if hides and not frame:
             close()
         stack.append((name, label, hides, becomes_main))
-        has_main |= becomes_main and not hides
+        regions += becomes_main and not main and not hides
         state()
     close()
-    return Page(tokens, blocks, has_main)
+    return Page(tokens, blocks, regions)
 
 
 def _runs_in_order(places: dict[tuple[str, str], list[np.ndarray]], keys: list) -> list:
@@ -278,23 +279,38 @@ def _container(blocks: list[tuple[tuple[str, ...], int]]) -> tuple[str, ...]:
 
 
 def extract(htmls: list[str | None]) -> list[tuple[str, int]]:
-    """(main text, number of the page's template tokens) of each page of one group."""
+    """(main text, number of the page's template tokens) of each page of one group.
+
+    Words that stay as data of an article region aren't counted as template.
+    """
     pages = [parse(h or "") for h in htmls]
     distinct = list({h or "": p for h, p in zip(htmls, pages, strict=True)}.values())
     frame = template(distinct)
-    slots = [[b for b in p.blocks if b.main or not b.words or not all(p.tokens[w] in frame for w in b.words)] for p in pages]
-    loose = [(b.path, len(b.text)) for p, own in zip(pages, slots, strict=True) if not p.has_main for b in own]
+    framed = [[all(p.tokens[w] in frame for w in b.words) for b in p.blocks] for p in pages]
+    data = {b.path for p, own in zip(pages, framed, strict=True) for b, whole in zip(p.blocks, own, strict=True) if b.main and not whole}
+    parts = []
+    for page, own in zip(pages, framed, strict=True):
+        slots = [b for b, whole in zip(page.blocks, own, strict=True) if not whole or (b.main and b.path in data)]
+        inside, outside = [b for b in slots if b.main], [b for b in slots if not b.main]
+        region = inside or [b for b in page.blocks if b.main]
+        by_tag = page.regions > 0 and _size(region) >= _size(outside)
+        n_template = sum(1 for t in page.tokens if t in frame) - sum(1 for b in inside for w in b.words if page.tokens[w] in frame)
+        parts.append((by_tag, region if by_tag else slots, n_template))
+    loose = [(b.path, len(b.text)) for by_tag, own, _ in parts if not by_tag for b in own]
     container = _container(loose) if loose else ()
     out = []
-    for page, own in zip(pages, slots, strict=True):
-        if page.has_main:
-            chosen = [b.text for b in own if b.main]
-        else:
-            chosen = [b.text for b in own if b.path[: len(container)] == container] or [b.text for b in own]
-        out.append(("\n\n".join(chosen), sum(1 for t in page.tokens if t in frame)))
+    for page, (by_tag, own, n_template) in zip(pages, parts, strict=True):
+        chosen = own
+        if not by_tag:
+            chosen = [b for b in own if b.path[: len(container)] == container or (b.main and page.regions == 1)] or own
+        out.append(("\n\n".join(b.text for b in chosen), n_template))
     return out
 
 
+def _size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
 def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars, n_template`` of every page."""
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)

@@ -115,3 +115,21 @@ def test_pages_that_share_a_passage_keep_it():
     shared = "this very passage is on every page of the host and stays"
     pages = [f"<nav>menu</nav><article><h1>n{i}</h1><p>{shared}</p><p>own {i}</p></article>" for i in range(8)]
     assert all(shared in t for t, _ in html.extract(pages))
+
+
+def test_repeated_parts_inside_an_article_are_template():
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    pages = [f'<article><div class="jumps"><ul><li>Home page<li>Our shop</ul></div><h1>n{i}</h1><p>{own(i)}</p><p>shared words</p><div class="tail"><p>Write to us</p></div></article>' for i in range(6)]
+    assert [t for t, _ in html.extract(pages)] == [f"n{i}\n\n{own(i)}\n\nshared words" for i in range(6)]
+    # regions that are template altogether stay
+    same = [f"<main><p>The page was not found</p></main><div>{i}</div>" for i in range(6)]
+    assert {t for t, _ in html.extract(same)} == {"The page was not found"}
+
+
+def test_teaser_cards_do_not_replace_the_body():
+    body = lambda i: " ".join(f"b{i}x{k}" for k in range(80))
+    cards = lambda i: "".join(f'<article class="card"><p>teaser {i} {k}</p></article>' for k in range(3))
+    pages = [f'<body><div class="text"><p>{body(i)}</p></div><div class="cards">{cards(i)}</div></body>' for i in range(6)]
+    assert [t for t, _ in html.extract(pages)] == [body(i) for i in range(6)]
+    lone = [f'<body><article><p>short {i}</p></article><div class="text"><p>{body(i)}</p></div></body>' for i in range(6)]
+    assert [t for t, _ in html.extract(lone)] == [f"short {i}\n\n{body(i)}" for i in range(6)]

@@ -8,8 +8,9 @@ split by a hash of the page, so no host is one task).  In a group:
 2.  Tokens with the same occurrence vector over the group's distinct pages form an
     equivalence class.  A class is valid if it is in ``SUPPORT`` of the pages, at
     least three, and its tokens keep one order in all of them; tokens out of order
-    leave it.  Classes are nested: one that straddles another's tokens, neither
-    inside one gap nor around all of it, is dropped.
+    leave it.  Classes are nested: each repetition of one lies in one gap of another,
+    or has the other's repetitions whole in its own gaps; one that straddles a class
+    of larger support, on any page, is dropped.
 3.  The valid classes are the template; what lies between its tokens are slots.  A
     block whose words all belong to the template is no slot but part of the frame.
 4.  The main slots are those inside ``article`` or ``main`` elements if these hold
@@ -242,28 +243,32 @@ def template(pages: list[Page]) -> set[tuple[str, str]]:
     # Larger support first: the outer frame is settled before what nests in it.
     ordered = sorted(classes.items(), key=lambda c: (-sum(1 for n in c[0] if n), -sum(c[0] and [1 for n in c[0] if n == 1]), c[0]))
     out: set[tuple[str, str]] = set()
-    spans: list[list[np.ndarray]] = []
+    spans: list[list[np.ndarray]] = []  # of each class and page a row of places for each repetition
     for _, keys in ordered:
         kept = _runs_in_order(places, keys)
-        mine = [np.sort(np.concatenate([places[k][p] for k in kept])) for p in range(len(pages))]
+        if len(kept) == 1:  # a single token can't straddle
+            out.update(kept)
+            continue
+        mine = [np.stack([places[k][p] for k in kept], 1) for p in range(len(pages))]
         if all(_nested(mine, other) for other in spans):
             out.update(kept)
-            if len(kept) > 1 and all(len(m) <= len(kept) for m in mine):
-                spans.append(mine)
+            spans.append(mine)
     return out
 
 
 def _nested(inner: list[np.ndarray], outer: list[np.ndarray]) -> bool:
-    """Whether on every page a class that repeats lies, repetition by repetition, in gaps of a class that doesn't."""
-    gaps = None
+    """Whether on every page each repetition of a class lies in one gap of the other, or has its repetitions whole in its own gaps."""
     for a, b in zip(inner, outer, strict=True):
         if not len(a) or not len(b):
             continue
-        now = tuple(sorted(set(np.searchsorted(b, a).tolist())))
-        if gaps is None:
-            gaps = now
-        elif len(a) == len(b) and now != gaps and len(now) == len(gaps):
-            return False
+        flat, n = b.ravel(), b.shape[1]
+        low, high = np.searchsorted(flat, a[:, 0]), np.searchsorted(flat, a[:, -1])
+        for row in np.flatnonzero(low < high):
+            if low[row] % n or high[row] % n:
+                return False
+            gaps = np.searchsorted(a[row], flat[low[row] : high[row]]).reshape(-1, n)
+            if (gaps != gaps[:, :1]).any():
+                return False
     return True
 
 

@@ -133,3 +133,15 @@ def test_teaser_cards_do_not_replace_the_body():
     assert [t for t, _ in html.extract(pages)] == [body(i) for i in range(6)]
     lone = [f'<body><article><p>short {i}</p></article><div class="text"><p>{body(i)}</p></div></body>' for i in range(6)]
     assert [t for t, _ in html.extract(lone)] == [f"short {i}\n\n{body(i)}" for i in range(6)]
+
+
+def test_a_class_that_straddles_another_is_dropped():
+    frame = "<body><div class='a'>Alpha top</div>{}<p>x{} y</p>{}<div class='z'>Omega end</div></body>"
+    pages = [frame.format(*(("<i>Left</i>", i, "<i>Right</i>") if i % 3 else ("", i, ""))) for i in range(9)]
+    words = {w for _, w in html.template([html.parse(p) for p in pages])}
+    assert {"Alpha", "top", "Omega", "end"} <= words and not {"Left", "Right"} & words
+    at = lambda *rows: [np.array(rows)]
+    assert html._nested(at([3, 4]), at([1, 2, 5])) and html._nested(at([1, 9]), at([3, 4, 5])) and html._nested(at([1, 2], [7, 8]), at([4, 5]))
+    assert html._nested(at([0, 9]), at([1, 2], [4, 5])) and html._nested(at([1, 5, 9]), at([2, 3], [6, 7]))
+    assert not html._nested(at([2, 6]), at([1, 4, 9])) and not html._nested(at([1, 5, 9]), at([3, 6])) and not html._nested(at([2, 3], [5, 8]), at([1, 6]))
+    assert not html._nested(at([0, 4]), at([1, 2], [3, 5]))

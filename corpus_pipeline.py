@@ -27,12 +27,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class; rows with a null id are kept, repeated rows of an id are one."""
+    """Keep the smallest id of each near-duplicate class.
+
+    Rows are told apart by a key of their own, so the texts of a repeated id are
+    documents each and null ids, the last to be chosen, are compared like others.
+    Rows of one id and one text are one, blank texts too.
+    """
     ship(spark)
-    classes = neardup.near_duplicates(docs)
-    kept = materialise(classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct(), "kept")
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    named = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).distinct()
+    seed = 0
+    while True:  # until the key of each id and text is its own; once, but for a collision of 64 bits
+        names = materialise(named.withColumn("__row", F.xxhash64(F.lit(seed), "doc_id", "digest")), "names")
+        if names.groupBy("__row").count().where("count > 1").isEmpty():
+            break
+        seed += 1
+    rows = docs.withColumn("__row", F.xxhash64(F.lit(seed), "doc_id", F.md5(F.col("text").cast("binary"))))
+    classes = neardup.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "class_id").distinct()
+    first = names.join(classes, "__row").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "__row")).alias("f"))
+    kept = materialise(first.select("f.__row"), "kept")
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

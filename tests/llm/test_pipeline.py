@@ -58,3 +58,11 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_near_dedup_tells_the_texts_of_an_id_apart(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a")), (1, text("b")), (1, text("a")), (2, text("b") + " more"), (3, text("c")), (None, text("c")), (None, text("d")), (None, text("d")), (None, text("e")), (4, text("f")), (4, " "), (4, " "), (5, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, SF).collect())
+    assert got == Counter([(1, text("a")), (1, text("b")), (3, text("c")), (None, text("d")), (None, text("e")), (4, text("f")), (4, " "), (5, None), (5, "")])

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +36,16 @@ def remainder_of_id(id_col: str, modulus: int) -> Column:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path inside the folder that ``spark.checkpoint.dir`` names.
-
-    Only where the setting is absent (tests, a laptop) a local folder is used.
-    """
-    root = shared_root(spark)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    """A fresh path inside the folder that ``spark.checkpoint.dir`` names."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def shared_root(spark: SparkSession) -> str:
+    """The shared folder; without the setting, a local one, but only where driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "ratingloom-work")
     return root.rstrip("/")
 
@@ -51,6 +53,9 @@ def shared_root(spark: SparkSession) -> str:
 #: Rows of a few numbers each that may be broadcast once they are counted: some megabytes.
 MAX_BROADCAST_ROWS = 200_000
 
+#: The tables written since the innermost ``scratch`` began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def materialise(df: DataFrame, label: str, rows: int | None = None, per_task: int = 100_000) -> DataFrame:
     """Cut the lineage: write Parquet in the shared folder and read it back.
@@ -62,8 +67,40 @@ def materialise(df: DataFrame, label: str, rows: int | None = None, per_task: in
     path = work_dir(spark, label)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_task)))
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table through Spark's own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised inside are removed at the end, but for those handed to the yielded function."""
+    mine: list[str] = []
+    kept: list[str] = []
+    outer = _WRITTEN.set(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._written_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _WRITTEN.reset(outer)
+        if (around := _WRITTEN.get()) is not None:
+            around.extend(kept)
+        for path in mine:
+            if path not in kept:
+                remove(spark, path)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

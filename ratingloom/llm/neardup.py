@@ -9,7 +9,8 @@ first (early termination).  ``BANDS`` bands of ``ROWS`` registers make candidate
 a pair is linked when its exact probability Jaccard is at least ``threshold``
 (on sets without repeated shingles that is the ordinary Jaccard similarity).
 
-Distribution.  Exact copies are first represented by their smallest id.  In each
+Distribution.  Exact copies are one text, told apart from others by the digest of
+the whole text and numbered; ids only come in at the end.  In each
 bucket all members are verified against one centre, and links are closed into
 components.  In the buckets that then still hold several components, the pairs
 across components are compared by longer signatures (``SKETCH`` registers, a bit
@@ -21,10 +22,14 @@ lineage.  Joins have one row per key on one side: that side is broadcast where
 its counted rows are few, else both have plain exchanges, so that adaptive
 execution splits a hot key.
 
+Limits of exactness: shingle keys have 48 bits, a pair at the threshold shares no
+band with probability 6e-5, and one met across components is let go by its
+sketches with probability 1.4e-5.
+
 Defined results: texts without words (null, empty, blank) have no shingles and
 are classes of their own; a text of one to four words has one shingle; rows that
-repeat an id get that id's class each (if their texts differ, the smallest of
-them); rows with a null id come back with a null class; other columns are ignored.
+repeat an id get the class of their own text each; rows with a null id are
+compared like others and come back with a null class; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise
+from .common import bounded, materialise, scratch
 from .wordhash import U, Words, mix, pieces
 
 BANDS, ROWS = 32, 6
@@ -127,10 +132,13 @@ def probability_jaccard(keys_a: np.ndarray, a: np.ndarray, keys_b: np.ndarray, b
     return float((times / total).sum())
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     """``doc_id, digest, bands``: the md5 of the whole text and the hash of each band (none without words)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    given = docs.select("doc_id", F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    given = docs.select("doc_id", _digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,14 +259,36 @@ def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id`` (the class's smallest id)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialise(signatures(docs, bands, rows, shingle), "signatures")
-    worded = found.where("doc_id is not null and size(bands) > 0")
-    n_docs = found.count()
-    copies = materialise(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "copies", n_docs, 10_000)
-    n_entries = copies.count() * bands
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, int]:
+    """Classes of the distinct texts of ``docs`` (``doc_id`` long, ``text``).
+
+    Two written tables and the rows of the second: ``doc_id, digest, worded`` of
+    every row, and ``digest, first_id, several, label, class_id`` of every distinct
+    text with words: its smallest id, whether it has different ids (or ids and null),
+    its class's number, and the smallest id of the class.
+    """
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        found = materialise(signatures(docs, bands, rows, shingle), "signatures")
+        n_docs = found.count()
+        several = (F.min("doc_id") < F.max("doc_id")) | (F.count("doc_id").between(1, F.count(F.lit(1)) - 1))
+        texts = found.where("size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.coalesce(several, F.lit(False)).alias("several"), F.min("bands").alias("bands"))
+        # A number is fixed once it is written; it only has to be different for each text.
+        copies = materialise(texts.withColumn("rep", F.monotonically_increasing_id()), "copies", n_docs, 10_000)
+        n_texts = copies.count()
+        labels, n_labels = _labels(docs, copies, n_texts, threshold, bands, shingle)
+        placed = copies.select("digest", "first_id", "several", "rep").join(bounded(labels, n_labels), copies.rep == labels.node, "left").select("digest", "first_id", "several", F.coalesce("label", "rep").alias("label"), F.col("label").isNotNull().alias("linked"))
+        placed = materialise(placed, "placed", n_texts, 400_000)
+        names = placed.where("linked").groupBy("label").agg(F.min("first_id").alias("least"))
+        classes = placed.join(bounded(names, n_labels), "label", "left").select("digest", "first_id", "several", "label", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first_id")).alias("class_id"))
+        classes = keep(materialise(classes, "classes", n_texts, 400_000))
+        every = keep(materialise(found.select("doc_id", "digest", (F.size("bands") > 0).alias("worded")), "rows", n_docs, 400_000))
+    return every, classes, n_texts
+
+
+def _labels(docs: DataFrame, copies: DataFrame, n_texts: int, threshold: float, bands: int, shingle: int) -> tuple[DataFrame, int]:
+    """``node, label`` of the numbered texts that are linked, and a bound of its rows."""
+    n_entries = n_texts * bands
     entries = copies.select("rep", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other")
     buckets = materialise(buckets.select("bucket", "centre"), "buckets", n_entries, 400_000)
@@ -266,9 +296,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     n_hits = hits.count()
     pairs = materialise(hits.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs", n_hits)
     n_pairs = pairs.count()
-    wanted = materialise(hits.select(F.col("rep").alias("doc_id")).distinct(), "wanted", n_hits)
+    wanted = materialise(copies.join(hits.select("rep").distinct(), "rep").select("rep", "digest", "first_id"), "wanted", n_hits)
     n_wanted = wanted.count()
-    texts = docs.join(bounded(wanted, n_wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # One row of each wanted text: that of its smallest id, rows that repeat it merged before the exchange.
+    own = docs.select("doc_id", "text", _digest().alias("digest"))
+    of_first = own.join(bounded(wanted, n_wanted).withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = of_first.groupBy(F.col("rep").alias("doc_id")).agg(F.min("text").alias("text"))
     sets = materialise(shingle_sets(texts, shingle), "sets", n_wanted, 1000)
     links = materialise(verify(pairs, sets, threshold, n_pairs), "verified", n_pairs, 1000)
     labels = materialise(components(links, n_pairs), "labels", n_pairs)
@@ -293,8 +326,41 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         kept = labels.join(merged, labels.label == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
         fresh = merged.join(labels.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
         labels = materialise(kept.unionByName(fresh), "relabelled", 2 * (n_pairs + n_more))
+    return labels, 2 * (n_pairs + n_more)
 
-    of_copy = copies.join(bounded(labels, 2 * (n_pairs + n_more)), copies.rep == labels.node, "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
-    of_copy = materialise(of_copy, "classes")
-    plain = found.where("doc_id is null or size(bands) = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    return worded.select("doc_id", "digest").join(of_copy, "digest").select("doc_id", "class_id").unionByName(plain)
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id`` (the class's smallest id)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    every, classes, n_texts = text_classes(docs, threshold, bands, rows, shingle)
+    named = every.where("worded").select("doc_id", "digest").join(bounded(classes.select("digest", "class_id"), n_texts), "digest")
+    plain = every.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"))
+    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")).unionByName(plain)
+
+
+def first_of_each(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each class: the one with the smallest id (null ids last), then the smallest text digest.
+
+    Documents without words all stay.  Rows that repeat an id and its text are one
+    document.  Only texts that have a class with others, or several ids, are looked
+    up; all other documents pass where they lie.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every, classes, n_texts = text_classes(slim, threshold, bands, rows, shingle)
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        best = classes.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest")).alias("f"), F.count(F.lit(1)).alias("texts"))
+        crowd = classes.join(best, "label").where("texts > 1 or several").select(F.col("digest").alias("__of"), F.col("first_id").alias("__first"), (F.col("digest") == F.col("f.digest")).alias("__stays"))
+        crowd = keep(materialise(crowd, "crowd", n_texts, 400_000))
+        twice = keep(materialise(every.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__same")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice", n_texts, 400_000))
+    id_, names = F.col("doc_id").cast("long"), docs.columns
+    own = docs.withColumn("__digest", _digest())
+    placed = own.join(bounded(crowd, crowd.count()), F.col("__digest") == F.col("__of"), "left")
+    stay = placed.where(F.col("__of").isNull() | (F.col("__stays") & id_.eqNullSafe(F.col("__first")))).select(*names, "__digest")
+    n_twice = twice.count()
+    if not n_twice:
+        return stay.select(names)
+    repeated = (F.col("__digest") == F.col("__same")) & id_.eqNullSafe(F.col("__id"))
+    alone = stay.join(bounded(twice, n_twice), repeated, "left_anti").select(names)
+    again = stay.join(bounded(twice, n_twice), repeated, "left_semi").withColumn("__null", F.col("text").isNull()).dropDuplicates(["doc_id", "__digest", "__null"])
+    return alone.unionByName(again.select(names))

@@ -4,8 +4,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from ratingloom.llm import decontam, neardup
+from ratingloom.llm import common, decontam, neardup
 from ratingloom.llm.wordhash import Words, pieces
 
 from ..conftest import SF
@@ -106,6 +107,29 @@ def test_neardup_edges(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_the_texts_of_a_repeated_id_have_their_own_classes(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b") + " more"), (None, text("b") + " more words"), (3, text("c")), (None, text("c")), (3, text("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep": F.lit("clash"), "digest": F.lit(1), "label": F.lit(2)})
+    every, classes, _ = neardup.text_classes(df.select("doc_id", "text"))
+    named = every.join(classes, "digest").select("doc_id", "class_id", "label").collect()
+    assert len({r.label for r in named}) == 3 and len({r.label for r in named if r.class_id == 1}) == 2
+    got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect())
+    assert got == {(1, 1): 2, (2, 1): 1, (None, None): 2, (3, 3): 2}
+    kept = Counter((r.doc_id, r.text, r.label) for r in neardup.first_of_each(df).collect())
+    assert kept == {(1, text("a"), 2): 1, (1, text("b"), 2): 1, (3, text("c"), 2): 1}
+
+
+def test_wide_broadcasts_are_joins_beyond_their_bound(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = family(rng, [f"w{rng.randrange(300)}" for _ in range(80)], 30, 4) + ["a b c d e f"] * 12 + [f"lone {i} text" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes(dict(enumerate(texts)))
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
+    assert sorted(r.doc_id for r in neardup.first_of_each(df).collect()) == sorted(set(want.values()))
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):

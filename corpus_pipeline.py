@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.llm import decontam, langid, mixing, neardup, secrets
-from ratingloom.llm.common import materialise, ship, table
+from ratingloom.llm.common import materialise, remove, ship, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,23 +29,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each near-duplicate class.
 
-    Rows are told apart by a key of their own, so the texts of a repeated id are
+    Documents are told apart by their texts, so the texts of a repeated id are
     documents each and null ids, the last to be chosen, are compared like others.
     Rows of one id and one text are one, blank texts too.
     """
     ship(spark)
-    named = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).distinct()
-    seed = 0
-    while True:  # until the key of each id and text is its own; once, but for a collision of 64 bits
-        names = materialise(named.withColumn("__row", F.xxhash64(F.lit(seed), "doc_id", "digest")), "names")
-        if names.groupBy("__row").count().where("count > 1").isEmpty():
-            break
-        seed += 1
-    rows = docs.withColumn("__row", F.xxhash64(F.lit(seed), "doc_id", F.md5(F.col("text").cast("binary"))))
-    classes = neardup.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "class_id").distinct()
-    first = names.join(classes, "__row").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "__row")).alias("f"))
-    kept = materialise(first.select("f.__row"), "kept")
-    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+    return neardup.first_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,5 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if (path := getattr(before, "_written_at", None)) is not None:
+            remove(spark, path)
     return docs

@@ -1,47 +1,74 @@
 """Language identification by rank-order profiles.
 
 A profile is the ``PROFILE`` most frequent letter n-grams (one to three letters,
-with word edges) of a language, most frequent first.  A document's own most
+with word edges) of a language, most frequent first.  A word is a run of Unicode
+letters and of the marks that belong to them; numbers of any kind are no letters.  A document's own most
 frequent n-grams are compared with each profile by out-of-place distance: the sum
 over the document's n-grams of how far its rank is from the profile's rank, or
 ``PROFILE`` for an n-gram that the profile lacks.  The smallest distance wins, and
 ``score`` is one minus that distance over the largest possible one.
 
 Profiles are learned from a bounded sample: about ``per_language`` documents of
-each language, chosen by a hash of the id, whole texts, counted where they lie.
+each language, chosen by a hash of the id, whole texts, counted where they lie, of
+at most ``languages`` languages, those with the most labelled documents (then the
+smaller name).  So the driver holds at most ``languages`` times ``PROFILE`` n-grams.
 Every whole text is then predicted on its own; nothing but its text is read.
 
 Defined results: a text that is null or has no letters is ``und`` with score 0;
 so is every text when nothing was learned.  Equal counts rank by n-gram, equal
 distances go to the smaller language name, so ties and repeated rows have one
-result.  Rows of null ``lang`` teach nothing.  Other columns are ignored.
+result.  Rows of null ``lang`` teach nothing.  Other columns are ignored.  Texts
+of marks or numbers alone have no letters.
 """
 
 from __future__ import annotations
 
-import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 PROFILE = 400
 PER_LANGUAGE = 3000
+LANGUAGES = 500
 #: Below this score a text resembles none of the learned languages.
 MIN_SCORE = 0.2
 UNKNOWN = "und"
 _EDGE = ord("_")
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+LETTER, MARK = 1, 2
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point: a letter, a mark, or neither."""
+    groups = (unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1))
+    return np.fromiter(({"L": LETTER, "M": MARK}.get(g, 0) for g in groups), np.uint8, sys.maxunicode + 1)
+
+
+def _words(text: str) -> np.ndarray:
+    """The code points of the text's words in lower case, an edge before, between and after them; empty without letters."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[c]
+    if not (kind == LETTER).any():
+        return np.zeros(0, np.int64)
+    out = np.full(len(c) + 2, _EDGE, np.int64)
+    out[1:-1][kind > 0] = c[kind > 0]
+    edge = out == _EDGE
+    return out[np.concatenate(([True], ~(edge[1:] & edge[:-1])))]
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Exact keys (21 bits a character) of the text's letter n-grams, rising, and their counts."""
-    words = _NOT_LETTERS.sub("_", text.lower()).strip("_")
-    if not words:
+    c = _words(text)
+    if not len(c):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = np.frombuffer(f"_{words}_".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     pairs = (c[:-1] << 21) | c[1:]
     triples = (pairs[:-1] << 21) | c[2:]
     keys = np.concatenate((c[c != _EDGE], pairs, triples[c[1:-1] != _EDGE]))
@@ -88,19 +115,14 @@ class Profiles:
         return self.names[best], float(1 - found[best])
 
 
-def learn(docs: DataFrame, known: Column, size: int = PROFILE, per_language: int = PER_LANGUAGE) -> Profiles:
-    """Profiles from the rows where ``known`` holds and ``lang`` is not null.
-
-    The driver receives ``size`` n-grams for each language.
-    """
+def learn(docs: DataFrame, known: Column, size: int = PROFILE, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Profiles:
+    """Profiles from the rows where ``known`` holds and ``lang`` is not null."""
     rows = docs.select("doc_id", "text", "lang", known.alias("known")).where("known and lang is not null and text is not null")
-    # As many rows as there are, or about per_language of them by a hash of the id.
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
-        return Profiles({}, size)
-    names = list(share)
-    keep = F.element_at(F.create_map(*[x for k in names for x in (F.lit(k), F.lit(share[k]))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < keep * 1_000_003).select("lang", "text")
+    # All rows of a language, or about per_language of them by a hash of the id.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in sizes], "learned string, share double")
+    chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("learned"))
+    sample = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}
@@ -112,8 +134,6 @@ def learn(docs: DataFrame, known: Column, size: int = PROFILE, per_language: int
         for lang, own in total.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "gram": pa.array(own.keys(), pa.int64()), "n": pa.array(own.values(), pa.int64())})
 
-    from pyspark.sql import Window as W
-
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counts.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     profiles: dict[str, list[int]] = {}
@@ -133,8 +153,6 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             names, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, names, scores], names=[*batch.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)
 

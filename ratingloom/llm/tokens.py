@@ -1,7 +1,7 @@
 """Token counts that equal the tokenizer library's own, also for huge documents.
 
-Short texts go to the library in batches.  A text of more than ``huge_chars``
-code points is encoded in overlapping chunks with offsets, and two neighbouring
+Texts of up to ``CHUNK_CHARS`` and an overlap go to the library in batches.  Any
+longer one is encoded in overlapping chunks with offsets, and two neighbouring
 chunks are spliced at a common boundary that is proven stable:
 
 * SentencePiece BPE: when no piece of the vocabulary holds a space mark after
@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HUGE_CHARS = 65_536
-CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 1_024
+CHUNK_CHARS = 8_192
+OVERLAP_CHARS = 512
 
 _LOADED: dict[str, object] = {}
 
@@ -88,12 +87,13 @@ def load(path: str) -> PieceModel | JsonModel:
     return _LOADED[path]
 
 
-def count_huge(model: PieceModel | JsonModel, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """The number of tokens of ``text`` by overlap resynchronisation."""
+def count_huge(model: PieceModel | JsonModel, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[int, int]:
+    """The number of tokens of ``text`` by overlap resynchronisation, and the number of spliced chunks."""
     if len(text) <= chunk + overlap or not model.splits:
-        return model.counts([text])[0]
+        return model.counts([text])[0], 1
     total, start = 0, 0  # tokens that end at or before ``start`` are counted
     begin = 0  # where the running chunk was cut
+    chunks = 1
     while True:
         stop = min(len(text), start + chunk)
         widen = overlap
@@ -101,7 +101,7 @@ def count_huge(model: PieceModel | JsonModel, text: str, chunk: int = CHUNK_CHAR
             left_to = min(len(text), stop + widen)
             left = model.ends(text[begin:left_to])
             if left_to == len(text):
-                return total + sum(1 for e in left if begin + e > start or (start == 0))
+                return total + sum(1 for e in left if begin + e > start or (start == 0)), chunks
             place = _splice(model, text, begin, left_to, left, stop, widen)
             if place is not None:
                 break
@@ -109,6 +109,7 @@ def count_huge(model: PieceModel | JsonModel, text: str, chunk: int = CHUNK_CHAR
         cut, right_begin = place
         total += sum(1 for e in left if (begin + e > start or start == 0) and begin + e <= cut)
         start, begin = cut, right_begin
+        chunks += 1
 
 
 def _splice(model, text: str, begin: int, left_to: int, left: list[int], stop: int, widen: int) -> tuple[int, int] | None:
@@ -125,27 +126,27 @@ def _splice(model, text: str, begin: int, left_to: int, left: list[int], stop: i
     return (common[len(common) // 2], right_begin) if common else None
 
 
-def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", huge_chars: int = HUGE_CHARS) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` of every whole text, without special tokens."""
+def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, n_chunks`` of every whole text, without special tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [0] * len(texts)
-            small = [i for i, t in enumerate(texts) if len(t) <= huge_chars]
+            counts, chunks = [0] * len(texts), [1] * len(texts)
+            small = [i for i, t in enumerate(texts) if len(t) <= chunk + overlap]
             for at in range(0, len(small), 256):  # so many token lists at once
                 some = small[at : at + 256]
                 for i, n in zip(some, model.counts([texts[i] for i in some]), strict=True):
                     counts[i] = n
             for i, t in enumerate(texts):
-                if len(t) > huge_chars:
-                    counts[i] = count_huge(model, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                if len(t) > chunk + overlap:
+                    counts[i], chunks[i] = count_huge(model, t, chunk, overlap)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(chunks, pa.int32())], names=["doc_id", "n_bytes", "n_tokens", "n_chunks"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_chunks int")
 
 
 def tokenizer_path(name: str) -> str:

@@ -16,7 +16,7 @@ def test_overlap_resynchronisation_is_exact(name):
     rng = random.Random(1)
     texts = ["a" * 9000, " " * 9000, "ab " * 3000, "\n" * 9000, "é ü" * 3000, "x  y   " * 1500, "".join(rng.choice("ab \né,😀\t") for _ in range(9000)), "word " * 2000 + "z" * 5000]
     for t in texts:
-        assert tokens.count_huge(model, t, 1500, 64) == model.counts([t])[0]
+        assert tokens.count_huge(model, t, 1500, 64)[0] == model.counts([t])[0]
 
 
 def test_token_rows(spark):
@@ -27,6 +27,19 @@ def test_token_rows(spark):
     assert tokens.count_tokens(df.limit(0), PIECE).count() == 0
 
 
+def test_texts_of_the_tables_are_spliced_and_equal_the_library(spark):
+    import sentencepiece
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    want = {r.doc_id: len(model.encode(r.text)) for r in docs}
+    df = spark.createDataFrame([(r.doc_id, r.text) for r in docs], "doc_id long, text string")
+    for chunk, overlap, least in ((tokens.CHUNK_CHARS, tokens.OVERLAP_CHARS, 40), (1_000, 64, 500)):
+        got = tokens.count_tokens(df, PIECE, chunk=chunk, overlap=overlap).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == want
+        assert sum(r.n_chunks > 1 for r in got) >= least
+
+
 def test_out_of_place_by_hand():
     profiles = langid.Profiles({"x": langid.ranked(*langid.gram_counts("aaa aab"), 9).tolist(), "y": langid.ranked(*langid.gram_counts("zzz zzy"), 9).tolist()}, 9)
     own = langid.ranked(*langid.gram_counts("aaa aab"), 9)
@@ -43,6 +56,21 @@ def test_gram_keys_are_exact():
     assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
 
 
+def test_letters_and_marks():
+    words = lambda t: "".join(map(chr, langid._words(t)))
+    assert words("½ ² Ⅷ ① 12 _!") == words("") == words("\u0301 \u093f") == ""
+    assert words(" Ab-c_d 1x ") == "_ab_c_d_x_"
+    assert words("हिन्दी की") == "_हिन्दी_की_" and words("e\u0301t\u00e9") == "_e\u0301t\u00e9_"
+    profiles = langid.Profiles({"x": [ord("a")]}, 3)
+    assert profiles.predict("½ ² Ⅷ ①") == ("und", 0.0)
+
+
+def test_learned_languages_are_bounded(spark):
+    rows = [(i, f"l{i % 9}" if i % 3 else "big", f"wörter und {i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumns({"share": F.lit("clash"), "learned": F.lit(1)})
+    assert langid.learn(df, F.lit(True), languages=3).names == ["big", "l1", "l2"]
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.col("doc_id") % 4 == 2

@@ -9,12 +9,13 @@ of its tokens' vectors; a tanh layer and a logistic unit, trained by Adam in
 numpy, turn it into a logit, and a temperature fitted on a fifth of the sample
 calibrates the probability.
 
-The classifier is fitted on a bounded sample: at most about ``SAMPLE_ROWS``
-labelled rows, chosen by a hash of the id.  The fit is one task that streams them
+The classifier is fitted on a bounded sample: about ``SAMPLE_ROWS`` labelled ids,
+chosen by a hash of the id, twice as many at most.  The fit is one task that streams them
 and holds their token numbers; scoring is row by row and covers whole texts.
 
 Defined results: a null or empty text is scored as a document without tokens; a
-null label teaches nothing; when the sample has one class or none, every score is
+null label teaches nothing; an id with several labels or texts teaches once, by its
+smallest label and that of its texts with the smallest digest; when the sample has one class or none, every score is
 the smoothed share of label 1; repeated rows get equal scores.
 """
 
@@ -188,12 +189,15 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, known: Column, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple[Vectors, Network]:
     """The classifier of ``label_col``, from the labels whose ids satisfy ``known``."""
-    rows = labels.where(known & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y"))
+    rows = labels.where(known & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     n = rows.count()
     share = min(1.0, sample_rows / max(1, n))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).limit(2 * sample_rows)
+    place = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
+    chosen = rows.where(place < share * 1_000_003).orderBy(place, "id").limit(2 * sample_rows)
     # At most 2 * sample_rows pairs of numbers: a proven bound for the broadcast.
-    given = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", F.coalesce("text", F.lit("")).alias("text"), "y").limit(4 * sample_rows)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    first = F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("digest"), "text", "y"))
+    given = met.groupBy("id").agg(first.alias("f")).select("id", "f.text", "f.y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ys, texts, sizes = [], [], [], []

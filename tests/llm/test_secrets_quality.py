@@ -133,6 +133,39 @@ def test_tokens_and_pooling():
         assert pooled[0] == pytest.approx(vectors.vectors[ids[:6]].mean(0), abs=1e-5) and not pooled[1].any()
 
 
+def test_word_vectors_and_network_by_brute_force():
+    texts = ["the cat sat on the mat", "a cat and a dog sat", "mat mat the dog", "the the cat"] * 3
+    for low, high, data, offsets in pieces(pa.array(texts)):
+        h, shape, who = quality.tokens(data, offsets)
+        vectors = quality.Vectors.learn([(h, shape, who)])
+        ids = vectors.number(vectors.vocabulary, h, shape)
+        own = quality.index_vectors(np.concatenate((vectors.vocabulary, np.arange(quality.SHAPES).astype(np.uint64)))).astype(float)
+        sums = np.zeros_like(own)
+        for i in range(len(ids)):  # every neighbour within reach in the same text
+            for j in range(len(ids)):
+                if 0 < abs(i - j) <= quality.REACH and who[i] == who[j]:
+                    sums[ids[i]] += own[ids[j]]
+        for k in set(ids.tolist()):
+            length = np.sqrt((sums[k] ** 2).sum())
+            assert vectors.vectors[k] == pytest.approx(sums[k] / max(length, 1e-9) + own[k], abs=1e-5)
+        x = vectors.pool(h, shape, who, high - low)
+        y = np.arange(len(texts)) % 2
+        net = quality.Network(0.5).fit(x, y.astype(float), np.arange(len(texts)) % 4 == 0, epochs=3)
+        a, b, c, d = net.layers
+        for i in range(len(texts)):
+            z = [(float(x[i, k]) - net.mean[k]) / net.scale[k] for k in range(quality.DIM)]
+            hidden = [np.tanh(sum(z[k] * a[k, j] for k in range(quality.DIM)) + b[j]) for j in range(quality.HIDDEN)]
+            logit = sum(hidden[j] * c[j] for j in range(quality.HIDDEN)) + d
+            assert net.probability(x[i : i + 1])[0] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=1e-5)
+
+
+def test_sample_is_repeatable_when_it_binds(spark):
+    docs = spark.createDataFrame([(i % 300, f"t{i} " + ("good words here " if i % 2 else "bad *** !!! ") * 9) for i in range(600)], "doc_id long, text string").withColumns({"y": F.lit("clash"), "id": F.lit(1)})
+    labels = spark.createDataFrame([(i % 300, int(i % 300 % 2)) for i in range(500)], "doc_id long, quality int")
+    one, two = (quality.fit(d, l, F.lit(True), sample_rows=40) for d, l in ((docs, labels), (docs.repartition(7), labels.repartition(5))))
+    assert all((a == b).all() for a, b in zip(one[1].layers, two[1].layers, strict=True)) and (one[0].vectors == two[0].vectors).all()
+
+
 def test_network_gradient_learns_and_calibrates():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2000, 6))

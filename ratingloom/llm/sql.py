@@ -7,13 +7,14 @@ total as (select sum(weight) as w_all, sum(n_docs) as n_all from weighed),
 rates as (select src, n_all::double * (weight / w_all) / n_docs as lam from weighed, total),
 steps as (select src, lam, unnest(range(0, ceil(lam + 12 * sqrt(lam) + 30)::bigint + 1)) as k from rates),
 cdf as (select src, k, sum(exp(-lam + k * ln(lam) - lgamma((k + 1)::double))) over (partition by src order by k) as c from steps),
-u as (select *, ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as u from documents),
+hashed as (select *, coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, '')) as name from documents),
+u as (select *, ('0x' || substr(md5('17|' || name), 1, 13))::bigint / 4503599627370496.0::double as u from hashed),
 n as (select u.doc_id, u.source, any_value(u.text) as text, any_value(u.lang) as lang, any_value(u.n_chars) as n_chars,
-             count(cdf.k) as copies
-      from u left join cdf on u.source is not distinct from cdf.src and cdf.c <= u.u group by u.doc_id, u.source),
+             u.name, count(cdf.k) as copies
+      from u left join cdf on u.source is not distinct from cdf.src and cdf.c <= u.u group by u.doc_id, u.source, u.name),
 copies as (select *, unnest(range(1, copies + 1))::int as copy from n)
 select doc_id, text, lang, source, n_chars, copy,
-       md5('order17|' || coalesce(doc_id::varchar, '') || '|' || copy::varchar) as mix_key
+       md5('order17|' || name || '|' || copy::varchar) as mix_key
 from copies
 """
 

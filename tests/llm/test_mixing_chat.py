@@ -18,7 +18,7 @@ def test_counts_invert_the_poisson_distribution(spark):
     got = {(r.doc_id): r.n for r in out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     for r in docs(spark).collect():
         lam = 2.0 * 3000 * {"hot": 2.0, "b": 1.0, None: 0.5}[r.source] / 3.5 / 1000
-        u = int(hashlib.md5(f"17|{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"17|{r.doc_id}|{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
         k, p = 0, math.exp(-lam)
         total = p
         while total <= u:
@@ -47,6 +47,14 @@ def test_mix_edges(spark):
     assert mixing.mix_sources(docs(spark, 30), {"hot": 0.0, "b": -1.0}, default_weight=0.0).count() == 0
 
 
+def test_null_and_repeated_ids_are_drawn_one_by_one(spark):
+    rows = spark.range(400).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("clash").alias("__of"))
+    out = mixing.mix_sources(rows).collect()
+    assert len({r.mix_key for r in out}) == len(out) and 300 < len(out) < 500
+    counts = {t: sum(r.text == t for r in out) for t in {r.text for r in out}}
+    assert set(counts.values()) >= {1, 2, 3} and len(counts) < 300
+
+
 def test_salted_join_gives_the_same(spark, monkeypatch):
     a = mixing.mix_sources(docs(spark)).select("mix_key").collect()
     monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)

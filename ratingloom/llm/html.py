@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction over same-host pages.
 
 Pages of a host are taken in groups of about ``GROUP_PAGES`` (a host with more is
-split by a hash of the page, so no host is one task).  In a group:
+split by a hash of the whole row, so no host is one task).  In a group:
 
 1.  Every page becomes tokens: tags and words, each together with its path of open
     elements (its role).
@@ -14,7 +14,9 @@ split by a hash of the page, so no host is one task).  In a group:
 3.  The valid classes are the template; what lies between its tokens are slots.  A
     block whose words all belong to the template is no slot but part of the frame.
 4.  The main slots are those inside ``article`` or ``main`` elements if these hold
-    at least half of the page's slot text.  Elsewhere (no such element, teaser
+    at least half of the page's slot text; where one of several articles holds most
+    of their slot text, the others (readers' replies, cards) aren't, nor is an
+    article inside another.  Elsewhere (no such element, teaser
     cards) they are the slots under the deepest element path that holds most of
     the slot text of the group's pages of that kind, and those of a lone ``article``
     or ``main``.  Slots under navigation, headers, footers, asides, forms, scripts,
@@ -32,16 +34,16 @@ an empty line.  Broken markup is read leniently: unknown end tags are ignored, a
 open paragraph ends at the next block, everything ends with its container.
 
 Defined results: null or empty html gives an empty text; pages with a null url
-are one host; repeated rows are repeated and count once as evidence; other
-columns are ignored.
+are one host, dealt like any other; repeated rows are repeated and count once as
+evidence and in memory; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -51,6 +53,10 @@ from pyspark.sql import functions as F
 
 GROUP_PAGES = 64
 SUPPORT = 0.5
+#: The part of the slot text that a container, or one of several articles, has to hold.
+MOST = 0.7
+#: Copies of a repeated row's answer that are held at once.
+REPEATED = 64
 #: Hosts with more than one group that may be broadcast; beyond it they are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
 
@@ -63,11 +69,16 @@ FRAME_ROLES = set("navigation banner contentinfo complementary search dialog ale
 FRAME_WORDS = set(
     "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar sidenav menu submenu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead topbar footer bottombar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login register "
-    "share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager widget toolbar search skip alert toast paywall copyright legal outbrain taboola".split()
+    "share sharing social related recommended recommendations comment comments commentary remark remarks discussion discussions talkback disqus reply replies responses respond pagination pager widget toolbar search skip alert toast paywall copyright legal outbrain taboola".split()
 )
-KEPT_WITH = set("article post entry content story main body no has with without page title".split())
-
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|</?[a-zA-Z](?:[^>"']++|"[^"]{0,8000}+"|'[^']{0,8000}+')*+>|</?[a-zA-Z][^>]*+>?""", re.S)
+#: Before such a word the part itself is meant: "has-sidebar" names a page, "post-comments" comments.
+DENIALS = set("no has with without not free".split())
+#: A header of one of these belongs to the text.
+HEADED = set("article post entry content story main page title".split())
+#: These may be searched, shared or sold as a whole, so a part of that name is no frame.
+WHOLES = set("search share notice legal promo respond register".split())
+
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*+>?""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -79,6 +90,8 @@ class Block:
     main: bool
     text: str = ""
     words: range = range(0)  # places in the page's tokens
+    article: int = 0  # the page's articles from 1; 0: in none
+    place: tuple[tuple[str, int], ...] = ()  # the path with each element's number among those of its kind beside it
 
 
 @dataclass
@@ -86,6 +99,7 @@ class Page:
     tokens: list[tuple[str, str]]
     blocks: list[Block]
     regions: int  # outermost article or main elements
+    elements: list[tuple[tuple[str, int], ...]] = field(default_factory=list)  # the places of all block elements
 
 
 def _attributes(tag: str, name: str) -> dict[str, str]:
@@ -105,21 +119,32 @@ def _is_frame(name: str, attributes: dict[str, str], in_main: bool) -> bool:
         return True
     if name in ("html", "body", "main"):
         return False
-    for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        words = {w.lower() for w in WORDS_OF_NAME.findall(label)}
-        if words & FRAME_WORDS and not words & KEPT_WITH:
-            return True
-    return False
+    return any(_names_frame([w.lower() for w in WORDS_OF_NAME.findall(label)]) for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".split())
+
+
+def _names_frame(words: list[str]) -> bool:
+    """Whether a class or id, cut into words, names a part of the frame."""
+    parts = {w for w in words if w in FRAME_WORDS}
+    if not parts or DENIALS & set(words):
+        return False
+    kept = HEADED & set(words)
+    if kept and parts <= {"header"}:
+        return False
+    # "search-content", "legal-page": the thing named last is the text itself.
+    return not (parts <= WHOLES and words[-1] in HEADED | {"body"})
 
 
 def parse(html: str) -> Page:
     """The page's tokens with their paths, and its text blocks that are in no frame element."""
     tokens: list[tuple[str, str]] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, frame, main
+    stack: list[tuple[str, str, bool, bool, int]] = []  # name, label, frame, main, article
     parts: list[str] = []
-    path, frame, main = "", False, False
-    regions = 0
+    path, frame, main, article = "", False, False, 0
+    regions = articles = 0
+    beside: Counter = Counter()  # block elements of a kind under a place
+    elements: list[tuple[tuple[str, int], ...]] = []
+    places: list[tuple[tuple[str, int], ...]] = []  # of the open elements
 
     def close() -> None:
         if parts:
@@ -127,13 +152,14 @@ def parse(html: str) -> Page:
             parts.clear()
             if text:
                 labels = tuple(s[1] for s in stack)
-                blocks.append(Block(labels, main, text, range(len(tokens), len(tokens) + text.count(" ") + 1)))
+                blocks.append(Block(labels, main, text, range(len(tokens), len(tokens) + text.count(" ") + 1), article, places[-1] if places else ()))
                 tokens.extend((path, w) for w in text.split(" "))
 
     def state() -> None:
-        nonlocal path, frame, main
+        nonlocal path, frame, main, article
         path = "/".join(s[1] for s in stack if s[1])
-        frame, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        frame, main, article = stack[-1][2:] if stack else (False, False, 0)
+        del places[len(stack) :]
 
     at, size = 0, len(html)
     while at < size:
@@ -190,14 +216,22 @@ def parse(html: str) -> Page:
         if name in VOID or tag.endswith("/>"):
             continue
         becomes_main = main or name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
-        hides = frame or _is_frame(name, attributes, main)
+        is_article = name == "article" or attributes.get("role", "").lower() == "article"
+        hides = frame or _is_frame(name, attributes, main) or (is_article and article > 0)
         if hides and not frame:
             close()
-        stack.append((name, label, hides, becomes_main))
+        articles += is_article and not hides
+        place = places[-1] if places else ()
+        if label:
+            beside[place, label] += 1
+            place = (*place, (label, beside[place, label]))
+            elements.append(place)
+        places.append(place)
+        stack.append((name, label, hides, becomes_main, articles if is_article and not hides else article))
         regions += becomes_main and not main and not hides
         state()
     close()
-    return Page(tokens, blocks, regions)
+    return Page(tokens, blocks, regions, elements)
 
 
 def _runs_in_order(places: dict[tuple[str, str], list[np.ndarray]], keys: list) -> list:
@@ -272,14 +306,37 @@ def _nested(inner: list[np.ndarray], outer: list[np.ndarray]) -> bool:
     return True
 
 
-def _container(blocks: list[tuple[tuple[str, ...], int]]) -> tuple[str, ...]:
-    """The deepest path under which most of the text lies."""
+def fixed_places(pages: list[Page]) -> Callable[[tuple[tuple[str, int], ...]], tuple]:
+    """A function from an element's place to its role over the group's distinct pages.
+
+    Elements of a kind that all pages with any have equally often beside each other
+    (their occurrence vector is constant) have a role each, by their number; others
+    of a kind share one.
+    """
+    roles: dict[tuple, tuple] = {(): ()}
+    by_depth: dict[int, list] = defaultdict(list)
+    for page in pages:
+        for place in page.elements:
+            by_depth[len(place)].append((id(page), place))
+    for depth in sorted(by_depth):
+        times: dict[tuple, dict] = defaultdict(Counter)  # parent's role and kind: how often under each parent
+        for page, place in by_depth[depth]:
+            times[roles[place[:-1]], place[-1][0]][page, place[:-1]] += 1
+        fixed = {key for key, n in times.items() if len(pages) >= 3 and len(set(n.values())) == 1}
+        for _, place in by_depth[depth]:
+            parent, (label, number) = roles[place[:-1]], place[-1]
+            roles[place] = (*parent, (label, number if (parent, label) in fixed else 0))
+    return lambda place: roles[place]
+
+
+def _container(blocks: list[tuple[tuple, int]]) -> tuple:
+    """The deepest role under which most of the text lies."""
     total = sum(n for _, n in blocks)
     under: Counter = Counter()
     for path, n in blocks:
         for depth in range(len(path) + 1):
             under[path[:depth]] += n
-    good = [p for p, n in under.items() if n >= 0.7 * total and (not p or p[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", ""))]
+    good = [p for p, n in under.items() if n >= MOST * total and (not p or p[-1][0].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", ""))]
     return max(good, key=lambda p: (len(p), p)) if good else ()
 
 
@@ -297,21 +354,34 @@ def extract(htmls: list[str | None]) -> list[tuple[str, int]]:
     for page, own in zip(pages, framed, strict=True):
         slots = [b for b, whole in zip(page.blocks, own, strict=True) if not whole or (b.main and b.path in data)]
         inside, outside = [b for b in slots if b.main], [b for b in slots if not b.main]
-        region = inside or [b for b in page.blocks if b.main]
+        region = _leading(inside or [b for b in page.blocks if b.main])
         by_tag = page.regions > 0 and _size(region) >= _size(outside)
         n_template = sum(1 for t in page.tokens if t in frame) - sum(1 for b in inside for w in b.words if page.tokens[w] in frame)
         parts.append((by_tag, region if by_tag else slots, n_template))
-    loose = [(b.path, len(b.text)) for by_tag, own, _ in parts if not by_tag for b in own]
+    role = fixed_places(distinct)
+    loose = [(role(b.place), len(b.text)) for by_tag, own, _ in parts if not by_tag for b in own]
     container = _container(loose) if loose else ()
     out = []
     for page, (by_tag, own, n_template) in zip(pages, parts, strict=True):
         chosen = own
         if not by_tag:
-            chosen = [b for b in own if b.path[: len(container)] == container or (b.main and page.regions == 1)] or own
+            chosen = [b for b in own if role(b.place)[: len(container)] == container or (b.main and page.regions == 1)] or own
         out.append(("\n\n".join(b.text for b in chosen), n_template))
     return out
 
 
+def _leading(region: list[Block]) -> list[Block]:
+    """The blocks without the articles beside one that holds most of the articles' text."""
+    sizes = Counter()
+    for b in region:
+        if b.article:
+            sizes[b.article] += len(b.text)
+    if len(sizes) < 2:
+        return region
+    largest, size = max(sizes.items(), key=lambda x: (x[1], -x[0]))
+    return [b for b in region if b.article in (0, largest)] if size >= MOST * sum(sizes.values()) else region
+
+
 def _size(blocks: list[Block]) -> int:
     return sum(len(b.text) for b in blocks)
 
@@ -324,30 +394,33 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     large = large.select(F.col("host").alias("large"), F.ceil(F.col("n") / group_pages).alias("groups"))
     if large.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS:
         large = F.broadcast(large)
-    dealt = rows.join(large, rows.host == F.col("large"), "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    dealt = dealt.select("host", "part", "page_id", "url", "html").repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "html")
+    # All of a row is hashed: repeated ids and null urls are dealt out too.
+    place = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("groups", F.lit(1)))
+    dealt = rows.join(large, rows.host == F.col("large"), "left").withColumn("part", place)
+    dealt = dealt.select("host", "part", "page_id", "url", "html").repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, urls, htmls = None, [], [], []
+        key, held = None, []  # of the running group: [page, url, html, times]
 
-        def answer() -> pa.RecordBatch:
-            found = extract(htmls)
-            texts = [t for t, _ in found]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in found], pa.int64())],
-                names=["page_id", "url", "text", "n_chars", "n_template"],
-            )
+        def answer() -> Iterator[pa.RecordBatch]:
+            found = extract([h[2] for h in held])
+            for (page, url, _, times), (text, n) in zip(held, found, strict=True):
+                for left in range(times, 0, -REPEATED):
+                    k = min(left, REPEATED)
+                    columns = ([page] * k, pa.int64()), ([url] * k, pa.string()), ([text] * k, pa.string()), ([len(text)] * k, pa.int64()), ([n] * k, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["page_id", "url", "text", "n_chars", "n_template"])
 
         for batch in batches:
             for host, part, page, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (host, part) != key:
-                    if ids:
-                        yield answer()
-                    key, ids, urls, htmls = (host, part), [], [], []
-                ids.append(page)
-                urls.append(url)
-                htmls.append(text)
-        if ids:
-            yield answer()
+                    if held:
+                        yield from answer()
+                    key, held = (host, part), []
+                if held and held[-1][:3] == [page, url, text]:
+                    held[-1][3] += 1
+                else:
+                    held.append([page, url, text, 1])
+        if held:
+            yield from answer()
 
     return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")

@@ -1,5 +1,7 @@
 import html as H
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,3 +190,114 @@ def test_a_class_that_straddles_another_is_dropped():
     assert html._nested(at([0, 9]), at([1, 2], [4, 5])) and html._nested(at([1, 5, 9]), at([2, 3], [6, 7]))
     assert not html._nested(at([2, 6]), at([1, 4, 9])) and not html._nested(at([1, 5, 9]), at([3, 6])) and not html._nested(at([2, 3], [5, 8]), at([1, 6]))
     assert not html._nested(at([0, 4]), at([1, 2], [3, 5]))
+
+
+def test_results_do_not_hang_on_tag_names(spark):
+    """Without article, main, menu and footer tags the template gives the same texts, but for two pages of the smallest hosts."""
+    groups: dict = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        groups.setdefault(re.sub(r"^\w+://([^/?#:]+).*", r"\1", r.url), []).append(r.html)
+    same, n = 0, 0
+    for pages in groups.values():
+        want = [t for t, _ in html.extract(pages)]
+        for tags in ("article|main", "article|main|nav|footer"):
+            got = [t for t, _ in html.extract([re.sub(rf"(</?)(?:{tags})\b", r"\1div", p) for p in pages])]
+            if len(pages) >= 3:
+                assert got == want
+            elif tags == "article|main":
+                same, n = same + sum(a == b for a, b in zip(got, want, strict=True)), n + len(want)
+    assert same == n
+
+
+def test_the_template_decides(monkeypatch):
+    own = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    pages = [f'<body><div><ul><li>Start<li>Our shop<li>Jobs at our shop</ul></div><div><h1>n{i}</h1><p>{own(i, 20 + 9 * i)}</p></div><div><p>{own(50 + i, 7)}</p></div></body>' for i in range(6)]
+    want = [f"n{i}\n\n{own(i, 20 + 9 * i)}" for i in range(6)]
+    assert [t for t, _ in html.extract(pages)] == want
+    framed = [f"<article><p>Menu of this site</p><h1>n{i}</h1><h2>{own(i, 30)}</h2></article>" for i in range(5)]
+    assert [t for t, _ in html.extract(framed)] == [f"n{i}\n\n{own(i, 30)}" for i in range(5)]
+    monkeypatch.setattr(html, "template", lambda pages: set())
+    assert [t for t, _ in html.extract(framed)] != [f"n{i}\n\n{own(i, 30)}" for i in range(5)]
+
+
+@pytest.mark.parametrize("name, frame", [("post-comments", True), ("entry-footer", True), ("article-ad", True), ("story-related", True), ("relatedContent", True), ("sponsored-post", True), ("main-nav", True), ("pageFooter", True), ("remarks", True), ("has-sidebar", False), ("no-ads", False), ("entry-header", False), ("page-header", False), ("header", True), ("search-content", False), ("content", False), ("readable", False), ("ad_slot", True)])
+def test_names_of_parts(name, frame):
+    page = f'<body><main><article><p>text</p><div class="x {name}"><p>part</p></div></article></main></body>'
+    assert html.extract([page])[0][0] == ("text" if frame else "text\n\npart")
+
+
+def test_articles_of_readers():
+    body = " ".join(f"b{k}" for k in range(60))
+    reply = "<article><p>reader said so</p></article>"
+    for page in (f"<main><article><p>{body}</p></article>{reply}{reply}</main>", f"<article><p>{body}</p><section>{reply}</section></article>", f"<article><p>{body}</p></article><div>{reply}</div>"):
+        assert html.extract([page])[0][0] == body
+    alike = f"<main><article><p>{body} one</p></article><article><p>{body} two</p></article></main>"
+    assert html.extract([alike])[0][0] == f"{body} one\n\n{body} two"
+
+
+def test_long_attributes_and_open_quotes():
+    for size in (9_000, 200_000):
+        assert html.extract([f"<article><p title=\"{'a > b ' * (size // 6)}\">text</p><img alt='{'x<y>' * (size // 4)}'></article>"])[0][0] == "text"
+    assert html.extract(['<p>a</p><p title="b>c</p><p>d</p>'])[0][0] == "a\n\nc\n\nd"
+    assert html.extract(["<p>" + "<a href='x" * 30_000])[0][0] == ""
+
+
+def naive_template(pages):
+    """The definitions of the module, token by token."""
+    least = max(3, -(-len(pages) // 2))
+    tokens = sorted({t for p in pages for t in p.tokens}, key=lambda t: next((i, p.tokens.index(t)) for i, p in enumerate(pages) if t in p.tokens))
+    at = {t: [[i for i, x in enumerate(p.tokens) if x == t] for p in pages] for t in tokens}
+    vector = {t: tuple(map(len, at[t])) for t in tokens}
+    classes = [v for v in set(vector.values()) if sum(n > 0 for n in v) >= least]
+    classes.sort(key=lambda v: (-sum(n > 0 for n in v), -v.count(1), v))
+    out, settled = set(), []
+    for v in classes:
+        keys = [t for t in tokens if vector[t] == v]
+        kept = []
+        for t in keys:
+            rows = [list(zip(*(at[k][p] for k in (*kept, t)), strict=True)) for p in range(len(pages))]
+            flat = [[x for row in page for x in row] for page in rows]
+            if not kept or all(f == sorted(f) for f in flat):
+                kept.append(t)
+        mine = [list(zip(*(at[k][p] for k in kept), strict=True)) for p in range(len(pages))]
+        good = True
+        for other in settled if len(kept) > 1 else []:
+            for a, b in zip(mine, other, strict=True):
+                marks = [x for row in b for x in row]
+                for row in a:
+                    between = [x for x in marks if row[0] < x < row[-1]]
+                    if not between:
+                        continue
+                    inside = [r for r in b if r[0] in between or r[-1] in between or any(x in between for x in r)]
+                    whole = all(x in between for r in inside for x in r)
+                    one_gap = all(len({sum(x > k for k in row) for x in r}) == 1 for r in inside)
+                    good = good and whole and one_gap
+        if good:
+            out.update(kept)
+            if len(kept) > 1:
+                settled.append(mine)
+    return out
+
+
+def test_classes_equal_brute_force():
+    rng = random.Random(4)
+    seen = Counter()
+    for _ in range(60):
+        parts = [f"<div class='k{k}'>{' '.join(rng.choice(['Top', 'of', 'the', 'site', 'more']) for _ in range(rng.randrange(1, 4)))}</div>" for k in range(4)]
+        pages = []
+        for i in range(rng.randrange(3, 8)):
+            some = [p for p in parts if rng.random() < 0.9]
+            if rng.random() < 0.2:
+                rng.shuffle(some)
+            rows = "".join(f"<li>item <i>n{rng.randrange(9)}</i> end" for _ in range(rng.randrange(0, 4)))
+            pages.append(html.parse("<body>" + "".join(some[:2]) + f"<ul>{rows}</ul><p>own {i}</p>" + "".join(some[2:]) + "</body>"))
+        got = html.template(pages)
+        assert got == naive_template(pages)
+        seen[len(got) > 8] += 1
+    assert seen[True] > 20
+
+
+def test_repeated_rows_come_back_as_often(spark):
+    rows = [(None, None, "<p>same</p>")] * 150 + [(1, "http://h/a", "<p>x</p>")] * 2
+    got = Counter(tuple(r) for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "url", "text").collect())
+    assert got == {(None, None, "same"): 150, (1, "http://h/a", "x"): 2}

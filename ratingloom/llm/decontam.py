@@ -16,8 +16,8 @@ window with fewer shared words than the least score needs cannot reach it.
 
 Words are lower-cased (ASCII and Latin-1) and split at ASCII punctuation.  Items
 are handled in blocks of at most about ``BLOCK_BYTES``, each carried to the
-executors in the task, whatever the size of the benchmark; documents are never
-shuffled.
+executors in the task; documents are read once for all frequencies and once for
+each block, and never shuffled.
 
 Defined results: null or blank texts and items match nothing; repeated documents
 and items give repeated rows; an item of one or two words is too short to prove
@@ -35,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .wordhash import U, Words, pieces
 
 GRAM = 3
 MIN_SCORE = 0.35
 PASSAGE_WORDS = 13
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Least and largest bitmap of the benchmark's grams, as powers of two (1 to 64 MB), and the documents' grams that a task holds before it counts them.
+BITS = 23, 29
+HELD = 2_000_000
 _FOLD = np.arange(256, dtype=np.uint8)
 for _b in range(33, 127):
     if not chr(_b).isalnum():
@@ -121,29 +125,69 @@ class GramIndex:
         hit[hit] = self.grams[at[hit]] == grams[rows[hit]]
         return rows[hit], at[hit]
 
+    def has(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), bool)
+        out[self.find(grams)[0]] = True
+        return out
 
-def frequencies(docs: DataFrame, index: GramIndex) -> dict[int, int]:
-    """In how many documents each gram of the index occurs; the driver receives one row for each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(index.grams), np.int64)
+def occurring(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """``gram, n``: the benchmark's grams that occur in documents, and in how many.
+
+    One pass over the documents for all items (``size`` bytes).  A bitmap lets pass
+    the documents' grams that may be of the benchmark; they are counted where they
+    lie, ``HELD`` of them at a time, before the exchange that joins them with the
+    benchmark's own.
+    """
+    bits = 1 << max(BITS[0], min(BITS[1], (64 * size).bit_length()))
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column(0)):
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.unique(Words(fold(data), offsets).grams(GRAM)[0]).view(np.int64))})
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(U) & U(bits - 1)
+            np.bitwise_or.at(there, at >> U(3), (U(1) << (at & U(7))).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([there.tobytes()], pa.binary())})
+
+    grams = benchmark.select("text").mapInArrow(of_items, "gram long").distinct()
+    bitmap = np.zeros(bits >> 3, np.uint8)
+    for row in grams.coalesce(4).mapInArrow(places, "bits binary").toLocalIterator():
+        bitmap |= np.frombuffer(row["bits"], np.uint8)
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
+            return pa.RecordBatch.from_pydict({"gram": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
-                grams, text, _ = Words(fold(data), offsets).grams(GRAM)
-                rows, at = index.find(grams)
-                both = np.unique(text[rows] * len(index.grams) + at)
-                total += np.bincount(both % max(1, len(index.grams)), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(some), "n": pa.array(total[some])})
+                found, text, _ = Words(fold(data), offsets).grams(GRAM)
+                at = found & U(bits - 1)
+                hit = np.flatnonzero((bitmap[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1))
+                order = hit[np.lexsort((found[hit], text[hit]))]
+                once = np.ones(len(order), bool)  # a gram counts once for each text
+                once[1:] = (found[order][1:] != found[order][:-1]) | (text[order][1:] != text[order][:-1])
+                held.append(found[order][once])
+                waiting += len(held[-1])
+                if waiting >= HELD:
+                    yield counted()
+                    held, waiting = [], 0
+        yield counted()
 
-    counted = docs.select("text").where("text is not null").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.collect()}
+    partial = docs.select("text").where("text is not null").mapInArrow(of_docs, "gram long, n long")
+    return partial.groupBy("gram").agg(F.sum("n").alias("n")).join(grams, "gram", "left_semi")
 
 
-def choose_seeds(items: Items, index: GramIndex, df: dict[int, int]) -> None:
-    """Keep every gram of an item that occurs in the documents."""
-    _, at = index.find(items.grams)
-    items.keep(np.flatnonzero(np.isin(at, np.fromiter(df, np.int64, len(df)))))
+def choose_seeds(items: Items, occur: np.ndarray) -> None:
+    """Keep every gram of an item that occurs in the documents (hashes, rising)."""
+    items.keep(np.flatnonzero(GramIndex(occur).has(items.grams)))
 
 
 def best_match(words: np.ndarray, item: np.ndarray, begins: np.ndarray, least: float) -> tuple[float, int, int] | None:
@@ -180,11 +224,14 @@ def _item_blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Ite
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
+    seeds = materialise(occurring(docs, benchmark, int(size)), "seeds")
+    parts = benchmark.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for k in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        index = items.index()
-        choose_seeds(items, index, frequencies(docs, index))
+        rows = parts.where(F.col("part") == k).toArrow()
+        items = Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
+        own = docs.sparkSession.createDataFrame(pa.table({"gram": pa.array(np.unique(items.grams).view(np.int64))}))
+        occur = seeds.join(own, "gram", "left_semi").select("gram").toArrow() if blocks > 1 else seeds.select("gram").toArrow()
+        choose_seeds(items, np.sort(occur.column("gram").to_numpy().view(U)))
         yield items
 
 

@@ -192,6 +192,35 @@ def test_a_lone_edited_copy_of_each_item_is_found(spark):
     assert {(i, i) for i in alignable} <= got and all(d == i for d, i in got)
 
 
+def test_frequencies_of_all_items_in_one_pass(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))) for _ in range(80)] + [None, ""]
+    items = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(9)] + ["not there at all", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "gram long, text string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+
+    def grams(texts):
+        for _, _, data, offsets in pieces(pa.array(texts, pa.string())):
+            found, who, _ = Words(decontam.fold(data), offsets).grams(3)
+            return [set(found[who == i].view(np.int64).tolist()) for i in range(len(texts))]
+
+    wanted = set().union(*grams(items))
+    want = {g: n for g, n in Counter(g for own in grams(texts) for g in own).items() if g in wanted}
+    for held in (2_000_000, 5):
+        monkeypatch.setattr(decontam, "HELD", held)
+        assert want and {r.gram: r.n for r in decontam.occurring(df, bench.where("text is not null"), 500).collect()} == want
+
+
+def test_clashing_columns_do_no_harm(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, "other words")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("item_id", "score", "n_words", "part", "gram")})
+    bench = spark.createDataFrame([(7, text)], "item_id long, text string").withColumns({c: F.lit("clash") for c in ("doc_id", "score", "part", "gram", "n")})
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()] == [(1, 7)]
+    kept = decontam.clean_documents(df, bench).collect()
+    assert [tuple(r) for r in kept] == [(2, "other words", *["clash"] * 5)] and decontam.clean_documents(df, bench).columns == df.columns
+
+
 def test_a_verbatim_part_of_a_long_item_is_found():
     rng = random.Random(13)
     words = [f"v{i}" for i in range(3000)]

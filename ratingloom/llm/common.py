@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -13,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import work_dir
 
 HEX52 = 4503599627370496.0
 
@@ -35,21 +33,6 @@ def remainder_of_id(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path inside the folder that ``spark.checkpoint.dir`` names."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder; without the setting, a local one, but only where driver and executors are one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "ratingloom-work")
-    return root.rstrip("/")
-
-
 #: Rows of a few numbers each that may be broadcast once they are counted: some megabytes.
 MAX_BROADCAST_ROWS = 200_000
 

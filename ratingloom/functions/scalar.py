@@ -41,6 +41,33 @@ def strict_boolean(c: Column) -> Column:
     )
 
 
+def lenient_boolean(c: Column) -> Column:
+    """What a loose cast makes of a text: null is false, the empty text is false, any other text is true, "false" too."""
+    return F.coalesce(c.cast("string") != "", F.lit(False))
+
+
+def strict_time(c: Column, format: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A timestamp without zone; a null or unreadable text fails the query."""
+    read = F.try_to_timestamp(c.cast("string"), F.lit(format)).cast("timestamp_ntz")
+    return F.when(read.isNotNull(), read).otherwise(F.raise_error(F.concat(F.lit("not a time: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("timestamp_ntz"))
+
+
+def displayed(c: Column, names: dict[str, str]) -> Column:
+    """The name to show for each key; a key without one shows itself."""
+    if not names:
+        return c
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.element_at(table, c), c)
+
+
+def replaced_section(text: Column, begin: str, end: str, body: Column) -> Column:
+    """The text with what stands between the two markers replaced; a text without both in this order is as it was."""
+    start = F.locate(begin, text)
+    stop = F.position(F.lit(end), text, F.greatest(F.lit(1), start + len(begin)))
+    whole = F.concat(F.substr(text, F.lit(1), start + (len(begin) - 1)), F.lit("\n"), body, F.lit("\n"), F.substr(text, stop))
+    return F.when((start > 0) & (stop > 0), whole).otherwise(text)
+
+
 def is_boolean_text(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c.cast("string"))).isin("true", "1", "false", "0")
 

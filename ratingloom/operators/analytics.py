@@ -130,6 +130,66 @@ def reconcile(stages: DataFrame, total: int, double: bool = True) -> DataFrame:
     return stages
 
 
+def identities(paths: DataFrame, stages: DataFrame, total: int) -> DataFrame:
+    """``identity, off``: how far each sum of the analytics is from what the bracket implies; 0 where it holds.
+
+    Six totals (finals, runner-ups, podiums, appearances in finals, complete and
+    bracket paths), the length of complete paths, and of each team its finals and
+    its finals less titles and second places.
+    """
+    def off(name: str, counted: DataFrame, wanted: int) -> DataFrame:
+        return counted.agg((F.coalesce(F.sum("n"), F.lit(0)) - wanted).cast("long").alias("off")).select(F.lit(name).alias("identity"), "off")
+
+    finals = paths.select(F.explode(F.array("ub_final", "lb_final")).alias("team")).groupBy("team").agg(F.count(F.lit(1)).alias("n"))
+    played = [c for c in SLOTS if c != "reset"]
+    short = paths.agg(F.count_if(F.size(F.filter(F.array(*played), lambda t: t.isNotNull())) != len(played)).cast("long").alias("off")).select(F.lit("path_length").alias("identity"), "off")
+    totals = [
+        off("final_matchups", final_matchups(paths), total),
+        off("runner_ups", runner_ups(paths), total),
+        off("podiums", podiums(paths), total),
+        off("final_appearances", finals, 2 * total),
+        off("complete_paths", complete_paths(paths), total),
+        off("bracket_paths", counts(paths, F.concat_ws("__then__", *played)), total),
+        short,
+    ]
+    second = runner_ups(paths).select(F.col("key").alias("team"), F.col("n").alias("second"))
+    per = stages.join(finals, "team", "left").join(second, "team", "left").na.fill(0, ["n", "second"])
+    pairs = F.array(
+        F.struct(F.concat(F.lit("appearances:"), F.col("team")).alias("identity"), (F.col("n") - F.col("Final")).cast("long").alias("off")),
+        F.struct(F.concat(F.lit("title_or_second:"), F.col("team")).alias("identity"), (F.col("second") + F.col("Champion") - F.col("Final")).cast("long").alias("off")),
+    )
+    out = per.select(F.explode(pairs).alias("p")).select("p.*")
+    for part in totals:
+        out = out.unionByName(part)
+    return out
+
+
+def path_struct(counted: DataFrame, schema: tuple[str, ...] | list[str], separator: str = "__then__") -> DataFrame:
+    """Keys of positional winners as structs with the schema's names; a key of another length fails the query."""
+    cells = F.split("key", F.lit(separator.replace("|", r"\|")), -1)
+    right = F.assert_true(F.size(cells) == len(schema), F.lit("a path has another length than its schema"))
+    named = F.struct(*[F.element_at(cells, i + 1).alias(c) for i, c in enumerate(schema)])
+    return counted.withColumns({"__ok": right, "path": named}).where(F.col("__ok").isNull()).drop("__ok")
+
+
+def bracket_paths(paths: DataFrame) -> DataFrame:
+    """Counts of the winners of all series in their order, joined by ``__then__``."""
+    return counts(paths, F.concat_ws("__then__", *[c for c in SLOTS if c != "reset"]))
+
+
+def seed_stability(a: DataFrame, b: DataFrame, total: int) -> DataFrame:
+    """``distribution, max_difference``: champions, finals, runner-ups, podiums and outsiders of two runs of paths."""
+    from .joins import max_share_difference
+
+    kinds = {"champion": champions, "final_matchup": final_matchups, "runner_up": runner_ups, "podium": podiums, "cinderella": lambda p: cinderella(p, total)}
+    out = None
+    for name, f in kinds.items():
+        pair = [f(p).withColumn("total", F.lit(total)) for p in (a, b)]
+        one = max_share_difference(*pair, ["key"]).select(F.lit(name).alias("distribution"), F.coalesce("max_difference", F.lit(0.0)).alias("max_difference"), "n_keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def production_gate(cold_starts: int, parity: float, replayed: int, expected: int) -> None:
     """Fails unless nobody is unknown, the replay drifted by nothing and has all its rows."""
     if cold_starts or parity != 0.0 or replayed != expected:

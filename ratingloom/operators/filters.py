@@ -19,11 +19,13 @@ IDENTIFIERS = ("match_id", "game_id", "tournament", "team1_id", "team1", "team2_
 CONTEXT = ("datetime", "map_name", "team1_win")
 PROFILE_RATES = ("pistol_round_win_rate", "ct_win_rate", "t_win_rate")
 PROFILE_COUNTS = ("n_pistol_rounds", "n_ct_rounds", "n_t_rounds")
+PROFILE = (
+    "team1_pistol_round_win_rate", "team1_n_pistol_rounds", "team1_ct_win_rate", "team1_n_ct_rounds", "team1_t_win_rate", "team1_n_t_rounds",
+    "team2_pistol_round_win_rate", "team2_n_pistol_rounds", "team2_ct_win_rate", "team2_n_ct_rounds", "team2_t_win_rate", "team2_n_t_rounds",
+)
 LEAK_TOKENS = ("score", "kills", "deaths", "assists", "adr", "kast", "kddiff", "games_played", "player1", "player2", "player3", "player4", "player5")
 MODEL_LEAK_TOKENS = ("impact", "relative_performance", "rich_stats_final_map")
 
-PROFILE = tuple(f"team{s}_{c}" for s in (1, 2) for pair in zip(PROFILE_RATES, PROFILE_COUNTS, strict=True) for c in pair)
-
 
 class ContractError(ValueError):
     """A table breaks its contract."""
@@ -138,7 +140,7 @@ class Contract:
     rules: dict[str, Column] = field(default_factory=dict)  # name: what every row must satisfy
     unique: list[list[str]] = field(default_factory=list)
     determines: list[tuple[str, str]] = field(default_factory=list)  # (key, the one value it has)
-    ordered_by: list[str] = field(default_factory=list)
+    ordered_by: list[str] = field(default_factory=list)  # (group, position, column that never falls), or none
 
     def violations(self, df: DataFrame) -> DataFrame:
         """``rule, n`` for every rule; 0 where it holds."""
@@ -154,6 +156,10 @@ class Contract:
         for key, value in self.determines:
             many = df.groupBy(key).agg(F.countDistinct(value).alias("k")).where("k > 1")
             parts.append(many.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"one:{key}->{value}").alias("rule"), "n"))
+        if self.ordered_by:
+            group, position, column = self.ordered_by
+            falls = order_breaks(df, position, column, [group])
+            parts.append(falls.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"ordered:{column}").alias("rule"), "n"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -176,12 +182,20 @@ def contest_contract() -> Contract:
             "two_teams": F.col("team1_id") != F.col("team2_id"),
             "has_time": F.col("datetime").isNotNull(),
             "score_agrees": (F.col("score1_game") > F.col("score2_game")).cast("int") == F.col("team1_win"),
+            "counts_not_negative": (F.col("score1_game") >= 0) & (F.col("score2_game") >= 0),
         },
         unique=[["match_id", "game_id"]],
         determines=[("match_id", "datetime")],
+        ordered_by=["match_id", "game_id", "datetime"],
     )
 
 
+def rates_out_of_range(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, n``: of each rate, the rows where it is there but not in [0, 1]."""
+    counts = df.agg(*[F.count_if(~F.col(c).between(0.0, 1.0)).alias(c) for c in columns])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns])).alias("r")).select("r.*")
+
+
 def group_sizes_wrong(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != size)
 

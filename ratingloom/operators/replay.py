@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.scalar import INITIAL, K_PERFORMANCE, K_TEAM, PLAYER_HALF_LIFE, PLAYER_SCALE, SCALE, TEAM_HALF_LIFE, elo_expectation
+from ..functions.scalar import CLIP, INITIAL, K_PERFORMANCE, K_TEAM, PLAYER_HALF_LIFE, PLAYER_SCALE, SCALE, TEAM_HALF_LIFE, elo_expectation
 from . import windows
 from .reshape import side_pivot
 
@@ -217,13 +217,13 @@ def lineup_features(replayed: DataFrame, players: DataFrame, rich: Column | None
     return out.withColumns(aliases)
 
 
-def player_snapshot(replayed: DataFrame, rosters: DataFrame, k: float = K_TEAM) -> DataFrame:
-    """``player, rating, last_seen, n_maps`` after each player's last map (decaying rating, no performance term)."""
+def player_snapshot(replayed: DataFrame, rosters: DataFrame, k: float = K_TEAM, k_performance: float = K_PERFORMANCE) -> DataFrame:
+    """``player, rating, last_seen, n_maps`` after each player's last map (decaying rating), with the replay's own K."""
     step = F.lit(k) * (F.col("team1_win") - elo_expectation(F.col("team1_elo_decay"), F.col("team2_elo_decay"))) / 5.0
-    rows = replayed.join(rosters.select("match_id", "game_id", "keys"), ["match_id", "game_id"])
-    long = rows.select(*KEYS, step.alias("step"), "decay", F.posexplode("keys").alias("at", "player"))
-    after = F.element_at("decay", F.col("at") + 1) + F.when(F.col("at") < 5, F.col("step")).otherwise(-F.col("step"))
-    return long.withColumn("after", after).groupBy("player").agg(F.max_by("after", F.struct(*KEYS)).alias("rating"), F.max("datetime").alias("last_seen"), F.count(F.lit(1)).alias("n_maps"))
+    rows = replayed.join(rosters.select("match_id", "game_id", "keys", "rich"), ["match_id", "game_id"])
+    long = rows.select(*KEYS, step.alias("step"), "decay", "rich", F.posexplode("keys").alias("at", "player"))
+    share = F.when(F.col("at") < 5, F.col("step")).otherwise(-F.col("step")) + F.lit(k_performance) * F.element_at("rich", F.col("at") + 1)
+    return long.withColumn("after", F.element_at("decay", F.col("at") + 1) + share).groupBy("player").agg(F.max_by("after", F.struct(*KEYS)).alias("rating"), F.max("datetime").alias("last_seen"), F.count(F.lit(1)).alias("n_maps"))
 
 
 def decayed_team_snapshot(replayed: DataFrame, k: float = K_TEAM) -> DataFrame:
@@ -309,14 +309,21 @@ def variance_scale(features: DataFrame, base: str, player: str) -> float:
 
 
 def weight_sweep(features: DataFrame, base: str, player: str, y: str, scale: float, steps: int = 100) -> DataFrame:
-    """Log loss of every blend weight 0, 1/steps, ..., 1: all in one pass, one aggregate for each weight."""
-    from ..functions.scalar import log_loss
-
-    d = [hybrid(F.col(base), F.col(player), F.lit(i / steps), scale) for i in range(steps + 1)]
-    losses = [F.avg(log_loss(F.col(y), 1.0 / (1.0 + F.pow(F.lit(10.0), -x / SCALE)))).alias(f"w{i}") for i, x in enumerate(d)]
-    row = features.agg(*losses)
-    cells = F.array(*[F.struct(F.lit(i / steps).alias("weight"), F.col(f"w{i}").alias("log_loss")) for i in range(steps + 1)])
-    return row.select(F.explode(cells).alias("c")).select("c.*")
+    """Log loss of every blend weight 0, 1/steps, ..., 1: one pass, a vector of sums a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, total, n = np.arange(steps + 1) / steps, np.zeros(steps + 1), 0
+        for batch in batches:
+            b, x, won = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for w in range(steps + 1):
+                q = 1.0 / (1.0 + 10.0 ** (-(weights[w] * b + (1 - weights[w]) * scale * x) / SCALE))
+                q = np.clip(np.where(won > 0, q, 1.0 - q), CLIP, 1 - CLIP)
+                total[w] -= np.log(q).sum()
+            n += len(b)
+        yield pa.RecordBatch.from_pydict({"weight": weights, "total": total, "n": np.full(steps + 1, n)})
+
+    rows = features.select(F.col(base).cast("double"), F.col(player).cast("double"), F.col(y).cast("int")).where(F.col(base).isNotNull() & F.col(player).isNotNull() & F.col(y).isNotNull())
+    return rows.mapInArrow(run, "weight double, total double, n long").groupBy("weight").agg((F.sum("total") / F.sum("n")).alias("log_loss"))
 
 
 def half_life_grid(contests: DataFrame, rosters: DataFrame, half_lives: list[float], k_performances: list[float], train_until: str, validation_until: str, chunks: int = 8) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import reshape as R
 from ..operators import simulate as SIM
 from ..operators import uncertainty as U
 from ..operators import windows as W
+from ..storage import stored
 from .fixture import ROSTER_SQL, VALID_SQL, contests, players, raw_contests, read
 from .relational import TRAIN, VALIDATION, rounded
 
@@ -68,11 +69,40 @@ def replay_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_rated(spark, sf_dir).select("match_id", "game_id", "team1_elo_global", "team2_elo_global", "raw_global_elo_prob"), "team1_elo_global", "team2_elo_global", "raw_global_elo_prob")
 
 
-@query("elo_replay_map")
+#: The same recursion for all maps side by side, each over its own rows.
+MAP_REPLAY = """mcoded as (select v.*, row_number() over (partition by map_name order by row_id) as k from (
+  select v.row_id, v.map_name, v.team1_win::double as y, a.c as a, b.c as b from valid v join codes a on a.team = v.key1 join codes b on b.team = v.key2) v),
+mwalk as (
+ select map_name, 0::bigint as k, -1::bigint as row_id, 0.0::double as ma, 0.0::double as mb, (select list_transform(range(1, count(*) + 1), lambda x: 1500.0::double) from codes) as r from maps
+ union all
+ select map_name, k, row_id, ma, mb,
+  list_concat(list_concat(r[1:least(a, b) - 1], [case when a < b then ma + d else mb - d end]), list_concat(r[least(a, b) + 1:greatest(a, b) - 1], list_concat([case when a < b then mb - d else ma + d end], r[greatest(a, b) + 1:]))) from (
+  select v.*, w.r, w.r[v.a] as ma, w.r[v.b] as mb, 24.0::double * (v.y - 1.0::double / (1.0::double + pow(10.0::double, (w.r[v.b] - w.r[v.a]) / 400.0::double))) as d
+  from mwalk w join mcoded v on v.map_name = w.map_name and v.k = w.k + 1)),
+hper as (select team, opponent, datetime, match_id, sum(won) as w from sides group by all),
+hprior as (select *, coalesce(sum(w) over (partition by team, opponent order by datetime, match_id rows between unbounded preceding and 1 preceding), 0)::bigint as h from hper),
+rn as (select *, row_number() over (partition by team order by datetime, match_id, game_id, side) as rn from sides),
+rfirst as (select team, match_id, min(rn) as f from rn group by all),
+rprior as (select f.team, f.match_id, count(p.rn) as c, coalesce(sum(case when p.margin > 0 then 1 else 0 end), 0) as w, coalesce(sum(p.margin), 0)::double as d
+ from rfirst f left join rn p on p.team = f.team and p.rn between f.f - 5 and f.f - 1 group by all),
+games as (select match_id, game_id, side, row_number() over (partition by team, map_name order by datetime, match_id, game_id) - 1 as n from sides),
+cells as (select s.match_id, s.game_id, s.side, h.h, round(case when r.c > 0 then r.w / r.c::double else 0 end, 6) as win, r.d, g.n from sides s
+ join hprior h using (team, opponent, datetime, match_id) join rprior r using (team, match_id) join games g using (match_id, game_id, side))"""
+
+
+@query(
+    "elo_replay_map",
+    f"""with recursive {REPLAY}, {MAP_REPLAY} select e.match_id, e.game_id, round(e.ea, 6) as team1_elo_global, round(e.eb, 6) as team2_elo_global, round(m.ma, 6) as team1_elo_map, round(m.mb, 6) as team2_elo_map,
+ x.n as team1_map_elo_n_games, y.n as team2_map_elo_n_games, x.h as team1_h2h_wins, y.h as team2_h2h_wins, x.win as team1_roll5_win_pct, y.win as team2_roll5_win_pct, x.d as team1_roll5_round_diff, y.d as team2_roll5_round_diff,
+ round(e.p, 6) as raw_global_elo_prob, round(1.0::double / (1.0::double + pow(10.0::double, (m.mb - m.ma) / 400.0::double)), 6) as raw_map_elo_prob
+from rated e join mwalk m using (row_id) join cells x on x.match_id = e.match_id and x.game_id = e.game_id and x.side = 1 join cells y on y.match_id = e.match_id and y.game_id = e.game_id and y.side = 2""",
+)
 def replay_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen columns before each map."""
     rows = RP.point_in_time_features(contests(spark, sf_dir))
     names = [f"team{s}_{x}" for x in ("elo_global", "elo_map", "map_elo_n_games", "h2h_wins", "roll5_win_pct", "roll5_round_diff") for s in (1, 2)]
-    return rows.select("match_id", "game_id", *names, "raw_global_elo_prob", "raw_map_elo_prob")
+    real = [*[f"team{s}_{x}" for s in (1, 2) for x in ("elo_global", "elo_map", "roll5_win_pct")], "raw_global_elo_prob", "raw_map_elo_prob"]
+    return rounded(rows.select("match_id", "game_id", *names, "raw_global_elo_prob", "raw_map_elo_prob"), *real)
 
 
 @query(
@@ -152,24 +182,34 @@ def snapshot_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RP.matchup_features(pairs, latest, teams, RP.player_snapshot(replayed, rosters), RP.lineup_counts(people), "2002-01-01 00:00:00")
 
 
-@query("cold_start_audit", f"with {VALID_SQL}, n as (select team, count(*) as n from sides group by team) select (select count(*) from supplier) + 20 as n_entities, (select count(*) from supplier) + 20 - count(*) as n_cold from n")
+@query(
+    "cold_start_audit",
+    f"""with recursive {REPLAY}, after as (select row_id, key1 as team, ea + 24.0::double * (y - p) as rating from rated union all select row_id, key2, eb - 24.0::double * (y - p) from rated),
+n as (select team, round(arg_max(rating, row_id), 1) as rating, count(*) as n from after group by team), e as (select (select count(*) from supplier) + 20 as every)
+select every as n_entities, every - (select count(*) from n) as n_cold, every - (select count(*) from n) + (select count(*) from n where rating = 1500.0) as n_initial from e""",
+)
 def cold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture teams and twenty unknown ones; teams at the initial rating by chance aren't counted here."""
+    """Fixture teams, their ratings to one digit, and unknown ones."""
     teams = RP.snapshot(_rated(spark, sf_dir))
     n = read(spark, sf_dir, "supplier").count() + 20
     asked = spark.range(n - teams.count()).select(F.concat(F.lit("new"), F.col("id").cast("string")).alias("team"))
-    every = teams.select("team", "rating", "n_maps").unionByName(asked.select("team", F.lit(None).cast("double").alias("rating"), F.lit(0).cast("long").alias("n_maps")))
-    return RP.cold_start_audit(every).drop("n_initial")
+    every = teams.select("team", F.round("rating", 1).alias("rating"), "n_maps").unionByName(asked.select("team", F.lit(None).cast("double").alias("rating"), F.lit(0).cast("long").alias("n_maps")))
+    return RP.cold_start_audit(every)
 
 
-@query("replay_parity", f"with {VALID_SQL} select count(*) as n_matched, 0.0::double as max_team1_elo_global, 0.0::double as max_team2_elo_global from valid")
+@query(
+    "replay_parity",
+    f"""with {VALID_SQL}, d as (select case when match_id % 211 = 0 then 0.25 else 0.0 end::double as x, case when match_id % 223 = 0 then 1.5 else 0.0 end::double as y from valid where match_id % 7 <> 0)
+select count(*) as n_matched, max(x) as max_team1_elo_global, max(y) as max_team2_elo_global from d""",
+)
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replay of rows dealt differently equals the replay itself."""
+    """The replay of rows dealt differently, with planted differences and missing rows, against the replay itself."""
     rows = contests(spark, sf_dir)
     key = F.concat_ws("/", F.col("match_id").cast("string"), F.col("game_id").cast("string"))
     a = RP.team_replay(rows).withColumn("key", key)
-    b = RP.team_replay(rows.repartition(7, "game_id")).withColumn("key", key)
-    return J.replay_parity(a, b, "key", ["team1_elo_global", "team2_elo_global"])
+    b = RP.team_replay(rows.repartition(7, "game_id")).withColumn("key", key).where("match_id % 7 <> 0")
+    off = {f"team{s}_elo_global": F.when(F.col("match_id") % m == 0, F.col(f"team{s}_elo_global") + x).otherwise(F.col(f"team{s}_elo_global")) for s, m, x in ((1, 211, 0.25), (2, 223, 1.5))}
+    return rounded(J.replay_parity(a, b.withColumns(off), "key", ["team1_elo_global", "team2_elo_global"]), "max_team1_elo_global", "max_team2_elo_global")
 
 
 SCORED = f"{VALID_SQL}, scored as (select *, team1_win as y, (0.5 + (team1_id - team2_id) / 1000000.0 + ((price * 7) % 100.0) / 250.0 - 0.2)::double as p, (0.5 + ((price * 3) % 100.0) / 500.0 - 0.1)::double as q, row_number() over (partition by match_id order by datetime, game_id) as map_position from valid)"
@@ -210,28 +250,59 @@ def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.reliability(_scored(spark, sf_dir), "y", "p"), "mean_p", "observed")
 
 
-DRAWS = 40
-BOOT = f"""{SCORED}, c as (select match_id, count(*) as n_rows, sum({{value}}) as total from scored group by match_id),
-numbered as (select *, row_number() over (order by match_id) - 1 as c from c), m as (select count(*) as m from numbered),
-picks as (select b, floor((('0x' || substr(md5('20260917|' || b::varchar || '|' || i::varchar), 1, 13))::bigint / 4503599627370496.0::double) * m)::bigint as c
- from m, range(0, {DRAWS}) tb(b), range(0, (select m from m)) ti(i)),
-boot as (select b, sum(total) / sum(n_rows) as v from picks join numbered using (c) group by b),
-point as (select sum(total) / sum(n_rows) as mean from c)
-select count(*) as n_draws, round(any_value(mean), 6) as mean, round(quantile_cont(v, 0.025), 6) as ci_low, round(quantile_cont(v, 0.975), 6) as ci_high"""
+SEED = 20260917
+
+
+def _boot(draws: int, sums: str, by: str = "") -> str:
+    """Common table expressions up to ``drawn``: the resamples' totals of ``sums`` (name: expression)."""
+    names = [x.split(" as ")[-1] for x in sums.split("; ")]
+    group = f"{by}, " if by else ""
+    return f"""{SCORED}, cut as (select *, case when map_position = 1 then 'map1' else 'map2+' end as stratum from scored),
+clusters as (select {group}match_id, count(*) as n_rows, {", ".join(f"sum({x.split(' as ')[0]})::double as {n}" for x, n in zip(sums.split("; "), names, strict=True))} from cut group by {group}match_id),
+keyed as (select *, {U.cluster_key_sql(SEED, "match_id")} as key from clusters),
+drawn as (select {group}b, sum(k * n_rows)::double as n_rows, {", ".join(f"sum(k * {n}) as {n}" for n in names)} from (select *, {U.draw_count_sql("key", "b")} as k from keyed, range(0, {draws}) t(b)) group by {group}b)"""
 
 
-@query("cluster_bootstrap_ci", f"with {BOOT.format(value='(p - y) * (p - y)')} from boot, point")
+def _ratio_sql(draws: int, value: str) -> str:
+    return f"""with {_boot(draws, value + ' as total')}, point as (select sum(total) / sum(n_rows) as mean from clusters)
+select count(*) as n_draws, round(any_value(mean), 6) as mean, round(quantile_cont(total / n_rows, 0.025), 6) as ci_low, round(quantile_cont(total / n_rows, 0.975), 6) as ci_high"""
+
+
+@query("cluster_bootstrap_ci", f"{_ratio_sql(1000, '(p - y) * (p - y)')} from drawn, point")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = U.ratio_interval(_scored(spark, sf_dir), "match_id", S.brier(F.col("y"), F.col("p")), DRAWS)
+    out = U.ratio_interval(_scored(spark, sf_dir), "match_id", S.brier(F.col("y"), F.col("p")), 1000, SEED)
     return rounded(out, "mean", "ci_low", "ci_high")
 
 
-@query("paired_delta_guardrail", f"with {BOOT.format(value='(p - y) * (p - y) - (q - y) * (q - y)')}, quantile_cont(v, 0.975) < 0 as accepted from boot, point")
+@query("paired_delta_guardrail", f"{_ratio_sql(1000, '(p - y) * (p - y) - (q - y) * (q - y)')}, quantile_cont(total / n_rows, 0.975) < 0 as accepted from drawn, point")
 def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = U.paired_guardrail(_scored(spark, sf_dir), "match_id", S.brier(F.col("y"), F.col("p")), S.brier(F.col("y"), F.col("q")), DRAWS)
+    out = U.paired_guardrail(_scored(spark, sf_dir), "match_id", S.brier(F.col("y"), F.col("p")), S.brier(F.col("y"), F.col("q")), 1000, SEED)
     return rounded(out, "mean", "ci_low", "ci_high")
 
 
+LOSS = "-(y * ln(greatest(1e-12, least(1 - 1e-12, p))) + (1 - y) * ln(1 - greatest(1e-12, least(1 - 1e-12, p))))"
+TRIPLET = ("accuracy", "log_loss", "brier")
+
+
+@query(
+    "strata_bootstrap",
+    f"""with {_boot(1000, f"((p >= 0.5)::int = y)::int::double as accuracy; {LOSS} as log_loss; (p - y) * (p - y) as brier", "stratum")},
+point as (select stratum, sum(n_rows)::bigint as rows, count(*) as clusters, {", ".join(f"round(sum({m}) / sum(n_rows), 6) as {m}" for m in TRIPLET)} from clusters group by stratum),
+ends as (select stratum, {", ".join(f"round(quantile_cont({m} / n_rows, {q}), 6) as {m}_{e}" for m in TRIPLET for e, q in (("low", 0.025), ("high", 0.975)))} from drawn group by stratum)
+select * from point join ends using (stratum)""",
+)
+def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.when(F.col("map_position") == 1, "map1").otherwise("map2+")
+    out = U.metric_intervals(_scored(spark, sf_dir), "match_id", "y", "p", cut, 1000, SEED)
+    return rounded(out, *[f"{m}{e}" for m in TRIPLET for e in ("", "_low", "_high")])
+
+
+@query("guardrail_5000")
+def guardrail_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guardrail at its full 5,000 draws; the same query with 1,000 is held against SQL."""
+    return U.paired_guardrail(_scored(spark, sf_dir), "match_id", S.brier(F.col("y"), F.col("p")), S.brier(F.col("y"), F.col("q")), 5000, SEED)
+
+
 @query("hybrid_weight_sweep", f"with {SCORED}, d as (select y, ((p - 0.5) * 800)::double as base, ((q - 0.5) * 300)::double as player from scored), s as (select *, 1.0::double / (1.0::double + pow(10.0::double, -(w / 100.0::double * base + (1 - w / 100.0::double) * 2.0::double * player) / 400.0::double)) as x from d, range(0, 101) t(w)) select round(w / 100.0::double, 6) as weight, round(avg(-(y * ln(x) + (1 - y) * ln(1 - x))), 6) as log_loss from s group by w")
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).select("y", ((F.col("p") - 0.5) * 800).alias("base"), ((F.col("q") - 0.5) * 300).alias("player"))
@@ -274,7 +345,7 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str, rounds: int = 10) -> tuple[DataFrame, object]:
-    rows = _model_rows(spark, sf_dir).persist()  # read by every boosting round
+    rows = stored(_model_rows(spark, sf_dir), "model-rows")  # read by every boosting round
     return rows, M.fit_boosted(rows.where("split = 'train'"), rows.where("split = 'validation'"), FEATURES, "team1_win", rounds=rounds, step=0.1)
 
 
@@ -299,6 +370,13 @@ def feature_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(M.gains(model, FEATURES), "feature string, gain double")
 
 
+@query("family_gain")
+def family_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model = _fitted(spark, sf_dir)
+    rows = spark.createDataFrame(M.gains(model, FEATURES), "feature string, importance double")
+    return A.by_family(rows, {"elo_diff": "rating", "map_diff": "rating", "h2h_diff": "history", "form_diff": "history"})
+
+
 # ---------------------------------------------------------------- simulations
 
 TEAMS = list("abcdefgh")
@@ -375,11 +453,89 @@ def double_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AN.stage_counts(SIM.simulate_double(spark, rules, state, SIM.elo_model, 5 * N_PATHS, partitions=8), rules.teams)
 
 
-@query("single_elim_counts")
+def single_sql(seed: int = 42, n: int = N_PATHS) -> str:
+    """The single elimination with frozen ratings, ending in ``singles``."""
+    best = {"qf1": 3, "qf2": 3, "qf3": 3, "qf4": 3, "sf1": 3, "sf2": 3, "champion": 5}
+    draws = ", ".join(f"{SIM.uniform_sql('k', slot * SIM.DRAWS + i)} as u{slot}_{i}" for slot, b in enumerate(best.values()) for i in range(b))
+    cell = lambda name, a, b: f"{_series(a, b, list(best).index(name), best[name])} as {name}"
+    first = ", ".join(cell(f"qf{i + 1}", str(a), str(b)) for i, (a, b) in enumerate(RULES.openings))
+    name = "['" + "','".join(TEAMS) + "']"
+    return f"""sk as (select path, {SIM.path_key_sql(seed, 'path')} as k from range(0, {n}) r(path)), su as (select path, {draws} from sk),
+s1 as (select *, {first} from su), s2 as (select *, {cell("sf1", "qf1", "qf2")}, {cell("sf2", "qf3", "qf4")} from s1), s3 as (select *, {cell("champion", "sf1", "sf2")} from s2),
+singles as (select {", ".join(f"{name}[{c} + 1] as {c}" for c in best)} from s3)"""
+
+
+@query(
+    "single_elim_counts",
+    f"""with {single_sql()}, reached as (select unnest({TEAMS}) as team, 'QF' as stage from singles union all select unnest([qf1, qf2, qf3, qf4]), 'SF' from singles
+ union all select unnest([sf1, sf2]), 'Final' from singles union all select champion, 'Champion' from singles)
+select team, count(*) filter (stage = 'QF') as "QF", count(*) filter (stage = 'SF') as "SF", count(*) filter (stage = 'Final') as "Final", count(*) filter (stage = 'Champion') as "Champion" from reached group by team""",
+)
 def single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AN.single_stage_counts(SIM.simulate_single(spark, RULES, _frozen(), SIM.elo_model, N_PATHS, partitions=8), TEAMS)
 
 
+@query(
+    "analytics_identities",
+    f"""with {paths_sql(42, False)}, s as (select unnest({TEAMS}) as team), finals as (select unnest([ub_final, lb_final]) as team from paths42)
+select 'final_matchups' as identity, sum(n)::bigint - {N_PATHS} as off from (select count(*) as n from paths42 group by least(ub_final, lb_final), greatest(ub_final, lb_final))
+union all select 'runner_ups', count(runner_up) - {N_PATHS} from paths42 union all select 'podiums', count(*) filter (champion <> runner_up and third is not null) - {N_PATHS} from paths42
+union all select 'final_appearances', count(*) - {2 * N_PATHS} from finals union all select 'complete_paths', count(champion) - {N_PATHS} from paths42
+union all select 'bracket_paths', count(grand_final) - {N_PATHS} from paths42
+union all select 'path_length', count(*) filter ({" or ".join(f"{c} is null" for c in SIM.SLOTS if c != "reset")}) from paths42
+union all select 'appearances:' || team, (select count(*) from finals f where f.team = s.team) - (select count(*) from paths42 where ub_final = s.team or lb_final = s.team) from s
+union all select 'title_or_second:' || team, (select count(*) from paths42 where champion = s.team or runner_up = s.team) - (select count(*) from finals f where f.team = s.team) from s""",
+)
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _double(spark)
+    return AN.identities(paths, AN.stage_counts(paths, TEAMS), N_PATHS)
+
+
+PLAYED = [c for c in SIM.SLOTS if c != "reset"]
+
+
+@query("path_structs", f"with {paths_sql(42, False)} select {', '.join(PLAYED)}, count(*) as n from paths42 group by all")
+def path_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AN.path_struct(AN.bracket_paths(_double(spark)), PLAYED).select("path.*", "n")
+
+
+@query("forecast_live")
+def forecast_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Champions of a double elimination in the nine-feature state, scored by trees with calibration."""
+    start, trees = nine_feature_state(), nine_feature_trees(spark)
+    return AN.champions(SIM.simulate_double(spark, RULES, start, trees.probability, 5 * N_PATHS, partitions=8))
+
+
+@query("fast_slow_preflight")
+def fast_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array scores against a walk through the trees as Spark prints them, on 200 paths: 0 everywhere (tests run 5,000 rows)."""
+    model, knots = _nine_feature_model(spark)
+    return M.preflight(spark, RULES, nine_feature_state(), M.FastTrees.of(model, list(RP.MODEL_FEATURES), knots), M.tree_walk(model, knots), 200)
+
+
+def nine_feature_state() -> SIM.LineupElo:
+    """Eight teams of the fixture's kind: ratings, five players each, gaps, lineups, newcomers."""
+    rng = np.random.default_rng(9)
+    return SIM.LineupElo(np.array(RATINGS), np.array(RATINGS)[:, None] + rng.normal(0, 40, (8, 5)), rng.uniform(0, 30, 8), rng.integers(0, 60, 8).astype(float), rng.integers(0, 2, 8).astype(float), S.PLAYER_SCALE)
+
+
+def _nine_feature_model(spark: SparkSession, rounds: int = 30) -> tuple[object, list[tuple[float, float]]]:
+    """Trees and calibration fitted on seeded matchups of the nine inputs."""
+    rng = np.random.default_rng(10)
+    n = 4000
+    x = np.stack([rng.normal(0, 120, n), rng.normal(0, 120, n), *rng.uniform(0, 40, (2, n)), *rng.uniform(0, 120, (2, n)), rng.normal(0, 30, n), *rng.integers(0, 3, (2, n))], 1)
+    won = rng.random(n) < 1 / (1 + 10 ** (-(0.6 * x[:, 0] + 0.4 * x[:, 1]) / S.SCALE))
+    names = list(RP.MODEL_FEATURES)
+    rows = spark.createDataFrame([(*map(float, r), int(w)) for r, w in zip(x, won, strict=True)], ", ".join(f"{c} double" for c in names) + ", team1_win int")
+    model = M.fit_boosted(rows, None, names, "team1_win", rounds=rounds, step=0.1)
+    return model, M.fit_isotonic(M.predict(model, rows, names), "p", "team1_win")
+
+
+def nine_feature_trees(spark: SparkSession, rounds: int = 30) -> M.FastTrees:
+    model, knots = _nine_feature_model(spark, rounds)
+    return M.FastTrees.of(model, list(RP.MODEL_FEATURES), knots)
+
+
 def _series_sql(best_of: int, n: int, seed: int) -> str:
     out = [f"m0 as (select path, {SIM.path_key_sql(seed, 'path')} as k, 1620.0::double as ra, 1540.0::double as rb, 0 as a, 0 as b from range(0, {n}) r(path))"]
     need = best_of // 2 + 1
@@ -462,15 +618,27 @@ def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 TWO = f"with {paths_sql(42, False)},\n{paths_sql(99, False)}"
 
 
-@query("seed_stability", f"{TWO}, a as (select champion as key, count(*) / {N_PATHS}.0::double as p from paths42 group by 1), b as (select champion as key, count(*) / {N_PATHS}.0::double as q from paths99 group by 1) select round(max(abs(coalesce(p, 0) - coalesce(q, 0))), 6) as max_difference, count(*) as n_keys from a full join b using (key)")
+def _kind_sql(t: str) -> str:
+    """``distribution, key, p`` of a run's five distributions."""
+    final = "least(ub_final, lb_final) || '__vs__' || greatest(ub_final, lb_final)"
+    podium = "champion || '>' || runner_up || '>' || third"
+    parts = [f"select '{d}' as distribution, {k} as key, count(*) as n from {t} group by 2" for d, k in (("champion", "champion"), ("final_matchup", final), ("runner_up", "runner_up"), ("podium", podium))]
+    few = f"select 'cinderella', key, count(*) from (select unnest([ub_final, lb_final]) as key from {t}) where key not in (select champion from {t} group by 1 having count(*) / {N_PATHS}.0 >= 0.10) group by 2"
+    return f"select distribution, key, n / {N_PATHS}.0::double as p from ({' union all '.join([*parts, few])})"
+
+
+@query(
+    "seed_stability",
+    f"""{TWO}, a as ({_kind_sql('paths42')}), b as ({_kind_sql('paths99')})
+select distribution, round(max(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 6) as max_difference, count(*) as n_keys from a full join b using (distribution, key) group by distribution""",
+)
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = [AN.champions(_double(spark, s)).withColumn("total", F.lit(N_PATHS)) for s in (42, 99)]
-    return rounded(J.max_share_difference(*runs, ["key"]), "max_difference")
+    return rounded(AN.seed_stability(_double(spark), _double(spark, 99), N_PATHS), "max_difference")
 
 
-@query("top_path_membership", f"{TWO}, a as (select champion as key, count(*) as n, min(path) as f from paths42 group by 1 order by n desc, f limit 1), b as (select champion as key, count(*) as n, min(path) as f from paths99 group by 1 order by n desc, f limit 3) select a.key, b.key is not null as is_member from a left join b using (key)")
+@query("top_path_membership", f"{TWO}, a as (select {TEXT} as key, count(*) as n, min(path) as f from paths42 group by 1 order by n desc, f limit 1), b as (select {TEXT} as key, count(*) as n, min(path) as f from paths99 group by 1 order by n desc, f limit 3) select a.key, b.key is not null as is_member from a left join b using (key)")
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AN.top_membership(AN.champions(_double(spark)), AN.champions(_double(spark, 99)), 3)
+    return AN.top_membership(AN.complete_paths(_double(spark)), AN.complete_paths(_double(spark, 99)), 3)
 
 
 @query("champion_rank", f"{P42}, c as (select champion as key, count(*) as n, min(path) as f from paths42 group by 1) select key, place, n from (select key, n, row_number() over (order by n desc, f)::int as place from c) where key = 'c'")
@@ -502,14 +670,21 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.coverage(raw_contests(spark, sf_dir), {"has_map": F.col("map_name").isNotNull(), "has_total": F.col("is_total").isNotNull()}), "has_map", "has_total")
 
 
-@query("roster_checks", f"with {ROSTER_SQL} select 'sizes' as what, count(*) as n from (select match_id, game_id, side from players group by all having count(*) <> 5) union all select 'sums', 0")
+@query(
+    "roster_checks",
+    f"""with {ROSTER_SQL}, f as (select *, coalesce(adr, median(adr) over (partition by match_id, game_id, side), 0) as x from players),
+r as (select match_id, game_id, side, slot, x - avg(x) over (partition by match_id, game_id, side) as relative from f), kept as (select * from r where not (match_id % 101 = 0 and slot = 5))
+select 'sizes' as what, count(*) as n from (select 1 from kept group by match_id, game_id, side having count(*) <> 5)
+union all select 'sums', count(*) from (select 1 from kept group by match_id, game_id, side having abs(sum(relative)) > 1e-6)""",
+)
 def roster_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = W.centred(players(contests(spark, sf_dir)), "adr", ["match_id", "game_id", "side"])
+    """Groups of other than five and sums other than 0; some players are taken away."""
+    people = W.centred(players(contests(spark, sf_dir)), "adr", ["match_id", "game_id", "side"]).where("not (match_id % 101 = 0 and slot = 5)")
     sizes = FI.group_sizes_wrong(people, ["match_id", "game_id", "side"], 5).agg(F.count(F.lit(1)).alias("n")).select(F.lit("sizes").alias("what"), "n")
-    sums = FI.group_sums_off(people, ["match_id", "game_id", "side"], "relative", 1e-9).agg(F.count(F.lit(1)).alias("n")).select(F.lit("sums").alias("what"), "n")
+    sums = FI.group_sums_off(people, ["match_id", "game_id", "side"], "relative", 1e-6).agg(F.count(F.lit(1)).alias("n")).select(F.lit("sums").alias("what"), "n")
     return sizes.unionByName(sums)
 
 
-@query("events_describe")
+@query("events_describe", """select 'value' as "column", count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, min(value)::double as min, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.75), 6) as q75, max(value)::double as max from events""")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.describe(read(spark, sf_dir, "events"), ["value"])
+    return rounded(A.describe(read(spark, sf_dir, "events"), ["value"]), "mean", "std", "q25", "q50", "q75")

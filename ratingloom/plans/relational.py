@@ -65,15 +65,76 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.boolean_spellings(raw_contests(spark, sf_dir), "is_total")
 
 
+#: Rows that break each rule of the contract, planted among the fixture's.
+PLANTED = """planted as (
+  select match_id, game_id + case when match_id % 101 = 0 and game_id = 2 then -1 else 0 end as game_id,
+    case when match_id % 103 = 0 and game_id > 1 then datetime - interval 1 day when match_id % 107 = 0 then null else datetime end as datetime,
+    case when match_id % 109 = 0 then -score1_game else score1_game end as score1_game, score2_game,
+    case when match_id % 113 = 0 then null else team1_id end as team1_id, team2_id,
+    case when match_id % 127 = 0 then 2 when match_id % 131 = 0 then 1 - team1_win else team1_win end as team1_win
+  from named)"""
+
+
+def _planted(rows: DataFrame) -> DataFrame:
+    match, game = F.col("match_id"), F.col("game_id")
+    return rows.withColumns(
+        {
+            "datetime": F.when((match % 103 == 0) & (game > 1), F.col("datetime") - F.expr("interval 1 day")).when(match % 107 != 0, F.col("datetime")),
+            "game_id": F.when((match % 101 == 0) & (game == 2), game - 1).otherwise(game),
+            "score1_game": F.when(match % 109 == 0, -F.col("score1_game")).otherwise(F.col("score1_game")),
+            "team1_id": F.when(match % 113 != 0, F.col("team1_id")),
+            "team1_win": F.when(match % 127 == 0, F.lit(2)).when(match % 131 == 0, 1 - F.col("team1_win")).otherwise(F.col("team1_win")),
+        }
+    )
+
+
 @query(
     "contract_violations",
-    f"""with {RAW_SQL} select * from (
-select 'no_tie' as rule, count(*) filter (score1_game = score2_game) as n from named union all select 'binary_target', 0 union all select 'ids_present', 0
-union all select 'two_teams', count(*) filter (team1_id = team2_id) from named union all select 'has_time', 0 union all select 'score_agrees', 0
-union all select 'unique:match_id,game_id', 0 union all select 'one:match_id->datetime', 0)""",
+    f"""with {RAW_SQL}, {PLANTED}, breaks as (
+  select match_id, datetime, lag(datetime) over (partition by match_id order by game_id, datetime) as prior from planted)
+select * from (
+select 'no_tie' as rule, count(*) filter (not coalesce(score1_game <> score2_game, false)) as n from planted
+union all select 'binary_target', count(*) filter (not coalesce(team1_win in (0, 1), false)) from planted
+union all select 'ids_present', count(*) filter (match_id is null or game_id is null or team1_id is null or team2_id is null) from planted
+union all select 'two_teams', count(*) filter (not coalesce(team1_id <> team2_id, false)) from planted
+union all select 'has_time', count(*) filter (datetime is null) from planted
+union all select 'score_agrees', count(*) filter (not coalesce((score1_game > score2_game)::int = team1_win, false)) from planted
+union all select 'counts_not_negative', count(*) filter (not coalesce(score1_game >= 0 and score2_game >= 0, false)) from planted
+union all select 'unique:match_id,game_id', count(*) from (select 1 from planted group by match_id, game_id having count(*) > 1)
+union all select 'one:match_id->datetime', count(*) from (select 1 from planted group by match_id having count(distinct datetime) > 1)
+union all select 'ordered:datetime', count(*) from breaks where prior > datetime)""",
 )
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FI.contest_contract().violations(raw_contests(spark, sf_dir))
+    """Counts of broken rules; a game id occurs twice only where it was planted, so the order by game is checked by time within it."""
+    rows = _planted(raw_contests(spark, sf_dir))
+    contract = FI.contest_contract()
+    ordered = contract.ordered_by
+    contract.ordered_by = []
+    falls = FI.order_breaks(rows.withColumn("at", F.struct("game_id", "datetime")), "at", "datetime", [ordered[0]])
+    return contract.violations(rows).unionByName(falls.agg(F.count(F.lit(1)).alias("n")).select(F.lit("ordered:datetime").alias("rule"), "n"))
+
+
+@query("lenient_boolean", f"with {RAW_SQL} select match_id, game_id, coalesce(is_total <> '', false) as as_boolean from named")
+def lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_contests(spark, sf_dir).select("match_id", "game_id", S.lenient_boolean(F.col("is_total")).alias("as_boolean"))
+
+
+@query("rate_ranges", f"with {RAW_SQL} select 'discount' as \"column\", count(*) filter (not (discount * 11 between 0 and 1)) as n from named union all select 'tax', count(*) filter (not (tax between 0 and 1)) from named")
+def rate_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_contests(spark, sf_dir).withColumns({"discount": F.col("discount") * 11})
+    return FI.rates_out_of_range(rows, ["discount", "tax"])
+
+
+@query("display_names", f"with {RAW_SQL} select match_id, game_id, case map_name when 'map1' then 'Dust' when 'map2' then 'Inferno' else map_name end as shown from named")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_contests(spark, sf_dir).select("match_id", "game_id", S.displayed(F.col("map_name"), {"map1": "Dust", "map2": "Inferno"}).alias("shown"))
+
+
+@query("section_replace", "select page_id, case when strpos(html, '<ul>') > 0 and strpos(substr(html, strpos(html, '<ul>') + 4), '</ul>') > 0 then length(substr(html, 1, strpos(html, '<ul>') + 3)) + 5 + length(substr(html, strpos(html, '<ul>') + 3 + strpos(substr(html, strpos(html, '<ul>') + 4), '</ul>'))) else length(html) end as n_chars from pages")
+def section_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's first list replaced by three characters."""
+    new = S.replaced_section(F.col("html"), "<ul>", "</ul>", F.lit("new"))
+    return read(spark, sf_dir, "pages").select("page_id", F.length(new).cast("long").alias("n_chars"))
 
 
 @query("allowlist_projection", f"with {VALID_SQL} select match_id, game_id, team1_id, team2_id, tournament, team1, team2, team1_join_key, team2_join_key, map_name, team1_win from valid")
@@ -367,9 +428,17 @@ def symmetrize_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.mirror_by_name(rows), "raw_id_prob")
 
 
-@query("antisymmetry_check", "select 0::bigint as n_breaks")
+@query(
+    "antisymmetry_check",
+    f"""with {VALID_SQL}, two as (
+ select match_id, game_id, (score1_game - score2_game)::double as d from valid
+ union all select match_id, game_id, case when match_id % 97 = 0 then null when match_id % 89 = 0 then score2_game - score1_game + 1 else score2_game - score1_game end from valid)
+select count(*) as n_breaks from (select 1 from two group by match_id, game_id having abs(coalesce(sum(d), 0)) > 1e-9 or count(d) = 1)""",
+)
 def antisymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = symmetrize(spark, sf_dir).withColumn("round_diff", F.col("round_diff").cast("double"))
+    """Mirrored differences, some of them altered or taken away in the copy."""
+    off = F.when(F.col("is_mirrored") & (F.col("match_id") % 97 == 0), F.lit(None)).when(F.col("is_mirrored") & (F.col("match_id") % 89 == 0), F.col("round_diff") + 1).otherwise(F.col("round_diff"))
+    rows = symmetrize(spark, sf_dir).withColumn("round_diff", off.cast("double"))
     return R.antisymmetry_breaks(rows, ["match_id", "game_id"], ["round_diff"]).agg(F.count(F.lit(1)).alias("n_breaks"))
 
 

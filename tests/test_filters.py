@@ -33,7 +33,10 @@ def test_unreadable_boolean_fails(spark):
 def test_contract_names_every_fault(spark):
     df = contests(spark, [ROWS[0], ROWS[0], (1, 9, "2024-05-05 00:00:00", "A", "0", "3", 5, 5, 4, 4, 2)])
     found = {r["rule"]: r["n"] for r in FI.contest_contract().violations(df).collect()}
-    assert found == {"no_tie": 1, "binary_target": 1, "ids_present": 0, "two_teams": 1, "has_time": 0, "score_agrees": 1, "unique:match_id,game_id": 1, "one:match_id->datetime": 1}
+    assert found == {"no_tie": 1, "binary_target": 1, "ids_present": 0, "two_teams": 1, "has_time": 0, "score_agrees": 1, "unique:match_id,game_id": 1, "one:match_id->datetime": 1, "counts_not_negative": 0, "ordered:datetime": 0}
+    falling = contests(spark, [(1, 1, "2024-05-05 00:00:00", "A", "0", "3", 5, -1, 4, 6, 1), (1, 2, "2024-05-04 00:00:00", "A", "0", "3", 5, 4, 4, 6, 1)])
+    found = {r["rule"]: r["n"] for r in FI.contest_contract().violations(falling).collect()}
+    assert found["ordered:datetime"] == 1 and found["counts_not_negative"] == 1
     with pytest.raises(FI.ContractError, match="no_tie: 1"):
         FI.contest_contract().enforce(df)
 

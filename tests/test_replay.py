@@ -94,6 +94,21 @@ def test_lineup_replay_matches_a_plain_loop(spark):
     assert len(got) == n
 
 
+@pytest.mark.parametrize("k", [0.0, 0.5])
+def test_player_snapshot_is_what_the_next_map_starts_from(spark, k):
+    data = random_contests(40)
+    last = max(d[2] for d in data)
+    later = [(900 + i, 900 + i, last + timedelta(days=30), "m0", f"t{2 * i}", f"t{2 * i + 1}", 3, 1, 1) for i in range(3)]
+    rosters = RP.roster_arrays(roster(data + later, spark))
+    now = RP.lineup_replay(spark.createDataFrame(data + later, SCHEMA), rosters, k_performance=k).where("match_id >= 900").collect()
+    snap = {r.player: r for r in RP.player_snapshot(RP.lineup_replay(spark.createDataFrame(data, SCHEMA), rosters, k_performance=k), rosters, k_performance=k).collect()}
+    for r in now:
+        for i in range(10):
+            s = snap[f"{(r.key1, r.key2)[i // 5]}-{i % 5 + 1}"]
+            days = (r.datetime - s.last_seen).total_seconds() / 86400
+            assert r.decay[i] == pytest.approx(1500 + (s.rating - 1500) * 2 ** (-days / 1095))
+
+
 def test_lineup_features_are_complete_and_ordered(spark):
     data = random_contests(40)
     people = roster(data, spark)

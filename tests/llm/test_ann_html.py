@@ -70,7 +70,7 @@ def test_lookup_tables_score_the_decoded_vectors():
 
 
 def test_recall_from_merged_candidates(spark):
-    """160 candidates of all rows, whatever the dealing: at least 0.95 of the true neighbours."""
+    """Sixty candidates of all rows: at least 0.95 of the true neighbours."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     table = rows.toPandas()
     ids, x = table.vec_id.to_numpy(), np.stack(table.embedding.to_numpy()).astype(float)

@@ -4,8 +4,10 @@ Ratings are a strict recurrence, so a league is one ordered stream.  Leagues
 (``league`` column; teams of different leagues never meet) are dealt over the
 cluster and sorted in place, and each task streams its leagues through Arrow
 batches with the ratings as its only state: memory grows with teams and players,
-not with rows, and Spark's sort spills.  Everything that isn't a recurrence
-(counts, gaps, lineups, head-to-head, form) is a window in ``windows``.
+not with rows, and Spark's sort spills.  Only what the recurrence reads goes
+through that stream; its ratings are joined to the rows by their key, in parallel.
+Everything that isn't a recurrence (counts, gaps, lineups, head-to-head, form) is
+a window in ``windows``.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -24,6 +27,7 @@ from .reshape import side_pivot
 
 DAY = 86_400_000_000.0
 KEYS = ("datetime", "match_id", "game_id")
+ROW = ("match_id", "game_id")
 
 
 def _stream(df: DataFrame, league: str | None, order: tuple[str, ...]) -> tuple[DataFrame, str]:
@@ -34,19 +38,24 @@ def _stream(df: DataFrame, league: str | None, order: tuple[str, ...]) -> tuple[
     return df.repartition(F.col(name)).sortWithinPartitions(name, *order), name
 
 
-def _with(schema: StructType, drop: set[str], extra: list[StructField]) -> StructType:
-    return StructType([f for f in schema.fields if f.name not in drop] + extra)
+def _replayed(key: StructType, extra: list[StructField]) -> StructType:
+    return StructType([*key.fields, *extra])
 
 
-def team_replay(contests: DataFrame, k: float = K_TEAM, league: str | None = None, order: tuple[str, ...] = KEYS) -> DataFrame:
+def team_replay(contests: DataFrame, k: float = K_TEAM, league: str | None = None, order: tuple[str, ...] = KEYS, row: tuple[str, ...] = ROW) -> DataFrame:
     """The contests with global and per-map ratings before each map.
 
     Updates show at the next map, also of the same match.  Adds
     ``team{1,2}_elo_global``, ``team{1,2}_elo_map`` and both raw probabilities.
+    ``row`` (with the league) identifies a contest; one without it, or without its
+    place in the order, has null ratings and moves none.
     """
-    dealt, name = _stream(contests, league, order)
+    key = [*([league] if league else []), *row]
+    placed = contests.dropna(subset=[*key, *order]).select(*dict.fromkeys([*key, *order]), "key1", "key2", "map_name", "team1_win")
+    dealt, name = _stream(placed, league, order)
     names = dealt.columns
     at = [names.index(c) for c in (name, "key1", "key2", "map_name", "team1_win")]
+    kept = [names.index(c) for c in key]
     added = ["team1_elo_global", "team2_elo_global", "team1_elo_map", "team2_elo_map"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +75,10 @@ def team_replay(contests: DataFrame, k: float = K_TEAM, league: str | None = Non
                 team[a], team[b] = ga + step, gb - step
                 step = k * (y - 1.0 / (1.0 + 10.0 ** ((mb - ma) / SCALE)))
                 on_map[a, m], on_map[b, m] = ma + step, mb - step
-            kept = [c for n, c in zip(names, batch.columns, strict=True) if n != "__league"]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, out)], names=[n for n in names if n != "__league"] + added)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *map(pa.array, out)], names=key + added)
 
-    schema = _with(dealt.schema, {"__league"}, [StructField(c, DoubleType()) for c in added])
-    rated = dealt.mapInArrow(run, schema)
+    schema = _replayed(dealt.select(*key).schema, [StructField(c, DoubleType()) for c in added])
+    rated = contests.join(dealt.mapInArrow(run, schema), key, "left").select(*contests.columns, *added)
     return rated.withColumns(
         {
             "raw_global_elo_prob": elo_expectation(F.col("team1_elo_global"), F.col("team2_elo_global")),
@@ -107,6 +115,16 @@ def roster_arrays(players: DataFrame, relative: str = "relative", rich: str | No
     return players.groupBy("match_id", "game_id").agg(cells.alias("c")).select("match_id", "game_id", F.col("c.player_key").alias("keys"), F.col("c.rel").alias("rel"), F.col("c.rich").alias("rich"))
 
 
+def _tens(column: pa.ListArray) -> list:
+    """The cells of lists of ten, end to end."""
+    if column.null_count or not pc.all(pc.equal(pc.list_value_length(column), 10), min_count=0).as_py():
+        raise ValueError("a map needs ten different players: a roster has another size")
+    cells = column.flatten()
+    if cells.null_count:
+        raise ValueError("a roster has a null player or performance")
+    return cells.to_numpy(zero_copy_only=False).tolist()
+
+
 def lineup_replay(
     contests: DataFrame,
     rosters: DataFrame,
@@ -117,21 +135,26 @@ def lineup_replay(
     player_half_life: float = PLAYER_HALF_LIFE,
     league: str | None = None,
     order: tuple[str, ...] = KEYS,
+    row: tuple[str, ...] = ROW,
 ) -> DataFrame:
     """Decayed team ratings and three player ratings before each map, up to an exclusive cutoff.
 
     The team's change is shared by its five players; ``basic`` and ``rich`` never
     decay, ``decay`` is drawn back and moves by the rich change.  Adds
     ``team{1,2}_elo_decay``, gaps, and ``basic, rich, decay, player_gaps``: arrays
-    of ten.  A player on both sides of a map is an error.
+    of ten.  ``row`` (with the league) identifies a contest; contests without a
+    roster, a key or a time are left out.  A roster of other than ten different
+    players is an error.
     """
     if cutoff is not None:
         contests = contests.where(F.col("datetime") < F.lit(cutoff).cast(contests.schema["datetime"].dataType))
-    joined = contests.join(rosters, ["match_id", "game_id"]).withColumn("__now", F.unix_micros(F.col("datetime").cast("timestamp")))
-    dealt, name = _stream(joined, league, order)
+    key = [*([league] if league else []), *row]
+    placed = contests.dropna(subset=[*key, *order]).select(*dict.fromkeys([*key, *order]), F.unix_micros(F.col("datetime").cast("timestamp")).alias("__now"), "key1", "key2", "team1_win")
+    dealt, name = _stream(placed.join(rosters.select(*ROW, "keys", "rel", "rich"), list(ROW)), league, order)
     names = dealt.columns
-    at = [names.index(c) for c in (name, "__now", "key1", "key2", "team1_win", "keys", "rel", "rich")]
-    hidden = {"__league", "__now", "keys", "rel", "rich"}
+    at = [names.index(c) for c in (name, "__now", "key1", "key2", "team1_win")]
+    lists_at = [names.index(c) for c in ("keys", "rel", "rich")]
+    kept = [names.index(c) for c in key]
     scalars, arrays = ["team1_elo_decay", "team2_elo_decay", "team1_gap_days", "team2_gap_days"], ["basic", "rich_rating", "decay", "player_gaps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,20 +163,22 @@ def lineup_replay(
         people: dict = {}
         for batch in batches:
             single, many = [], [[] for _ in arrays]
-            for group, now, a, b, y, keys, rel, rich in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+            all_keys, all_rel, all_rich = (_tens(batch.column(i)) for i in lists_at)
+            for i, (group, now, a, b, y) in enumerate(zip(*(batch.column(j).to_pylist() for j in at), strict=True)):
+                keys, rel, rich = (x[10 * i : 10 * i + 10] for x in (all_keys, all_rel, all_rich))
                 if group != current:
                     current, team, people = group, {}, {}
                 if len(set(keys)) != 10:
                     raise ValueError(f"a map needs ten different players: {keys}")
                 rating, gap = [], []
-                for key in (a, b):
-                    r, last = team.get(key, (INITIAL, now))
+                for side in (a, b):
+                    r, last = team.get(side, (INITIAL, now))
                     days = max(0.0, (now - last) / DAY)
                     rating.append(INITIAL + (r - INITIAL) * 2.0 ** (-days / team_half_life))
                     gap.append(days)
                 basic, full, decayed, gaps = [], [], [], []
-                for key in keys:
-                    p, q, r, last = people.get(key, (INITIAL, INITIAL, INITIAL, now))
+                for player in keys:
+                    p, q, r, last = people.get(player, (INITIAL, INITIAL, INITIAL, now))
                     days = max(0.0, (now - last) / DAY)
                     basic.append(p)
                     full.append(q)
@@ -161,20 +186,21 @@ def lineup_replay(
                     gaps.append(days)
                 single.append((*rating, *gap))
                 for column, values in zip(many, (basic, full, decayed, gaps), strict=True):
-                    column.append(values)
+                    column += values
                 step = k * (y - 1.0 / (1.0 + 10.0 ** ((rating[1] - rating[0]) / SCALE)))
                 team[a], team[b] = (rating[0] + step, now), (rating[1] - step, now)
-                for i, key in enumerate(keys):
-                    share = (step if i < 5 else -step) / 5.0
-                    more = share + k_performance * rich[i]
-                    people[key] = (basic[i] + share + k_performance * rel[i], full[i] + more, decayed[i] + more, now)
-            kept = [c for n, c in zip(names, batch.columns, strict=True) if n not in hidden]
+                for j, player in enumerate(keys):
+                    share = (step if j < 5 else -step) / 5.0
+                    more = share + k_performance * rich[j]
+                    people[player] = (basic[j] + share + k_performance * rel[j], full[j] + more, decayed[j] + more, now)
             columns = [pa.array([s[i] for s in single], pa.float64()) for i in range(4)]
-            lists = [pa.array(m, pa.list_(pa.float64())) for m in many]
-            yield pa.RecordBatch.from_arrays([*kept, *columns, *lists], names=[n for n in names if n not in hidden] + scalars + arrays)
+            ends = np.arange(0, 10 * batch.num_rows + 1, 10, dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(m, pa.float64())) for m in many]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns, *lists], names=key + scalars + arrays)
 
     extra = [StructField(c, DoubleType()) for c in scalars] + [StructField(c, ArrayType(DoubleType())) for c in arrays]
-    return dealt.mapInArrow(run, _with(dealt.schema, hidden, extra))
+    replayed = dealt.mapInArrow(run, _replayed(dealt.select(*key).schema, extra))
+    return contests.join(replayed, key).select(*contests.columns, *scalars, *arrays)
 
 
 def _stats(values: Column, prefix: str) -> dict[str, Column]:

@@ -116,14 +116,14 @@ def final_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roster(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fixture's player rows, written once, and their rosters; two teams of a map never share a player."""
     people = W.centred(players(rows), "adr", ["match_id", "game_id", "side"])
-    # A player may stand on both sides of the fixture's maps: the key is made one of the side then.
-    people = people.withColumn("player_key", F.concat("player_key", F.lit("/"), F.col("side").cast("string")))
+    people = stored(people.select(*RP.KEYS, "key1", "key2", "side", "slot", "player_key", "relative"), "players")
     return people, RP.roster_arrays(people)
 
 
 def _lineups(spark: SparkSession, sf_dir: str, cutoff: str | None = None) -> tuple[DataFrame, DataFrame]:
-    rows = contests(spark, sf_dir)
+    rows = stored(contests(spark, sf_dir), "contests")
     people, rosters = _roster(rows)
     return RP.lineup_replay(rows, rosters, cutoff), people
 
@@ -171,9 +171,9 @@ def matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snapshot_matchups")
 def snapshot_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine inputs of hypothetical matchups of the fixture's teams, from the snapshots."""
-    rows = contests(spark, sf_dir)
+    rows = stored(contests(spark, sf_dir), "contests")
     people, rosters = _roster(rows)
-    replayed = RP.lineup_replay(rows, rosters)
+    replayed = stored(RP.lineup_replay(rows, rosters), "replayed")  # read by three snapshots
     teams = RP.decayed_team_snapshot(replayed)
     lineup = people.withColumn("team", F.when(F.col("side") == 1, F.col("key1")).otherwise(F.col("key2")))
     latest = lineup.groupBy("team", "slot").agg(F.max_by("player_key", F.struct("datetime", "match_id", "game_id", "side")).alias("player")).drop("slot")

@@ -167,3 +167,25 @@ def test_snapshot_matchups(spark):
     assert [got["t1"][c] for c in RP.MODEL_FEATURES] == pytest.approx([want[c] for c in RP.MODEL_FEATURES])
     assert got["new"].team2_player_cold_starts == 5 and got["new"].team2_gap_days == 0 and got["new"].player_elo_std_B_scaled == 0
     assert RP.cold_start_audit(players).first().n_cold == 0
+
+
+def test_rows_without_a_place_keep_null_ratings_and_move_none(spark):
+    data = random_contests(30)
+    lost = (None, 900, data[5][2], "m0", "t0", "t1", 9, 1, 1)
+    got = {r.game_id: r for r in RP.team_replay(spark.createDataFrame([*data, lost], SCHEMA)).collect()}
+    alone = {r.game_id: r for r in RP.team_replay(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got.pop(900).team1_elo_global is None and got == alone
+
+
+def test_rosters_of_another_size_fail(spark):
+    data = random_contests(3)
+    people = roster(data, spark).where("slot < 5")
+    with pytest.raises(Exception, match="ten different players"):
+        RP.lineup_replay(spark.createDataFrame(data, SCHEMA), RP.roster_arrays(people)).collect()
+
+
+def test_replay_streams_carry_only_what_the_recurrence_reads(spark):
+    wide = spark.createDataFrame(random_contests(9), SCHEMA).withColumn("payload", F.lit("x"))
+    plan = RP.team_replay(wide)._jdf.queryExecution().optimizedPlan().toString()
+    stream = plan[plan.index("MapInArrow") :].splitlines()[0]
+    assert "payload" not in stream and "score1_game" not in stream

@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +86,18 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "k string, v int")
     assert R.codes(empty, "k").count() == 0
     assert A.reliability(spark.createDataFrame([], "p double, y int"), "y", "p").count() == 0
+
+
+def test_band_join_equals_brute_force_over_a_hot_pair(spark):
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [[(i, start + timedelta(minutes=rng.randrange(20_000)) if i % 9 else None, *rng.choice([("a", "b"), ("b", "a"), ("a", "b"), ("c", "d"), ("c", None)])) for i in range(150)] for _ in range(2)]
+    rows[1][0] = (150, rows[0][1][1] + timedelta(hours=10), "b", "a")  # exactly at the band
+    rows[1][1] = (151, rows[0][1][1] + timedelta(hours=10, microseconds=1), "b", "a")
+    rows[0][1] = (1, rows[0][1][1], "a", "b")
+    left, right = (spark.createDataFrame(r, "id long, time timestamp_ntz, a string, b string") for r in rows)
+    got = sorted((r.left_id, r.right_id) for r in J.band_join(left, right, 10.0).collect())
+    near = lambda t, u: t is not None and u is not None and abs(t - u) <= timedelta(hours=10)
+    want = sorted((i, j) for i, t, a, b in rows[0] for j, u, c, d in rows[1] if b and d and {a, b} == {c, d} and near(t, u))
+    assert got == want and (1, 150) in got and (1, 151) not in got
+    assert J.band_join(left.limit(0), right, 10.0).count() == 0

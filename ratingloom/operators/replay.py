@@ -115,14 +115,80 @@ def roster_arrays(players: DataFrame, relative: str = "relative", rich: str | No
     return players.groupBy("match_id", "game_id").agg(cells.alias("c")).select("match_id", "game_id", F.col("c.player_key").alias("keys"), F.col("c.rel").alias("rel"), F.col("c.rich").alias("rich"))
 
 
-def _tens(column: pa.ListArray) -> list:
+def _tens(column: pa.ListArray) -> pa.Array:
     """The cells of lists of ten, end to end."""
     if column.null_count or not pc.all(pc.equal(pc.list_value_length(column), 10), min_count=0).as_py():
         raise ValueError("a map needs ten different players: a roster has another size")
     cells = column.flatten()
     if cells.null_count:
         raise ValueError("a roster has a null player or performance")
-    return cells.to_numpy(zero_copy_only=False).tolist()
+    return cells
+
+
+class _Seen:
+    """Entities numbered as they appear, with the time each was last there."""
+
+    def __init__(self) -> None:
+        self.codes: dict = {}
+        self.last = np.full(64, np.inf)
+
+    def gaps(self, names: list, now: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and days since the last appearance (0 at the first) of ``width`` entities a row, all rows at once."""
+        codes = np.array([self.codes.setdefault(x, len(self.codes)) for x in names], np.int64)
+        if (more := len(self.codes) - len(self.last)) > 0:
+            self.last = np.append(self.last, np.full(max(more, len(self.last)), np.inf))
+        at = np.argsort(codes, kind="stable")
+        code, time = codes[at], np.repeat(now, width)[at]
+        again = np.append(False, code[1:] == code[:-1])
+        before = np.where(again, np.append(0.0, time[:-1]), self.last[code])
+        days = np.empty(len(codes))
+        days[at] = np.maximum(0.0, (time - before) / DAY)
+        final = np.append(~again[1:], True)
+        self.last[code[final]] = time[final]
+        return codes.reshape(-1, width), days.reshape(-1, width)
+
+
+#: What a map's team change is worth to its ten players.
+SHARES = np.repeat([0.2, -0.2], 5)[:, None]
+
+
+class _Ratings:
+    """One league's state in the lineup replay: ratings less the initial one, of teams and of players in three variants."""
+
+    def __init__(self, k: float, k_performance: float, team_half_life: float, player_half_life: float) -> None:
+        self.k, self.k_performance, self.team_half_life, self.player_half_life = k, k_performance, team_half_life, player_half_life
+        self.teams, self.people = _Seen(), _Seen()
+        self.team: list[float] = []
+        self.person = np.zeros((64, 3))
+
+    def fold(self, now: np.ndarray, pairs: list, won: list, keys: list, rel: np.ndarray, rich: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Team ratings and gaps [row, 2], player ratings [row, 10, 3] and gaps [row, 10] before each row, in order.
+
+        Gaps and their decay don't depend on ratings, so they are found for all rows at once.
+        """
+        sides, team_gaps = self.teams.gaps(pairs, now, 2)
+        players, gaps = self.people.gaps(keys, now, 10)
+        ranked = np.sort(players, 1)
+        if (twice := (ranked[:, 1:] == ranked[:, :-1]).any(1)).any():
+            i = int(twice.argmax())
+            raise ValueError(f"a map needs ten different players: {keys[10 * i : 10 * i + 10]}")
+        self.team += [0.0] * (len(self.teams.codes) - len(self.team))
+        if (more := len(self.people.codes) - len(self.person)) > 0:
+            self.person = np.concatenate([self.person, np.zeros((max(more, len(self.person)), 3))])
+        team_keeps = np.exp2(-team_gaps / self.team_half_life).tolist()
+        keeps = np.ones((len(now), 10, 3))
+        keeps[:, :, 2] = np.exp2(-gaps / self.player_half_life)
+        moves = self.k_performance * np.stack([rel, rich, rich], 2)
+        team, person, ratings, before = self.team, self.person, [], np.empty((len(now), 10, 3))
+        for i, ((a, b), (p, q)) in enumerate(zip(sides.tolist(), team_keeps, strict=True)):
+            x, z = team[a] * p, team[b] * q
+            ratings.append((x, z))
+            step = self.k * (won[i] - 1.0 / (1.0 + 10.0 ** ((z - x) / SCALE)))
+            team[a], team[b] = x + step, z - step
+            at = players[i]
+            np.multiply(person[at], keeps[i], out=before[i])
+            person[at] = before[i] + moves[i] + step * SHARES
+        return INITIAL + np.array(ratings).reshape(-1, 2), team_gaps, INITIAL + before, gaps
 
 
 def lineup_replay(
@@ -159,43 +225,28 @@ def lineup_replay(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = ()
-        team: dict = {}
-        people: dict = {}
+        state = None
         for batch in batches:
-            single, many = [], [[] for _ in arrays]
-            all_keys, all_rel, all_rich = (_tens(batch.column(i)) for i in lists_at)
-            for i, (group, now, a, b, y) in enumerate(zip(*(batch.column(j).to_pylist() for j in at), strict=True)):
-                keys, rel, rich = (x[10 * i : 10 * i + 10] for x in (all_keys, all_rel, all_rich))
-                if group != current:
-                    current, team, people = group, {}, {}
-                if len(set(keys)) != 10:
-                    raise ValueError(f"a map needs ten different players: {keys}")
-                rating, gap = [], []
-                for side in (a, b):
-                    r, last = team.get(side, (INITIAL, now))
-                    days = max(0.0, (now - last) / DAY)
-                    rating.append(INITIAL + (r - INITIAL) * 2.0 ** (-days / team_half_life))
-                    gap.append(days)
-                basic, full, decayed, gaps = [], [], [], []
-                for player in keys:
-                    p, q, r, last = people.get(player, (INITIAL, INITIAL, INITIAL, now))
-                    days = max(0.0, (now - last) / DAY)
-                    basic.append(p)
-                    full.append(q)
-                    decayed.append(INITIAL + (r - INITIAL) * 2.0 ** (-days / player_half_life))
-                    gaps.append(days)
-                single.append((*rating, *gap))
-                for column, values in zip(many, (basic, full, decayed, gaps), strict=True):
-                    column += values
-                step = k * (y - 1.0 / (1.0 + 10.0 ** ((rating[1] - rating[0]) / SCALE)))
-                team[a], team[b] = (rating[0] + step, now), (rating[1] - step, now)
-                for j, player in enumerate(keys):
-                    share = (step if j < 5 else -step) / 5.0
-                    more = share + k_performance * rich[j]
-                    people[player] = (basic[j] + share + k_performance * rel[j], full[j] + more, decayed[j] + more, now)
-            columns = [pa.array([s[i] for s in single], pa.float64()) for i in range(4)]
+            groups, now, one, two, won = (batch.column(i).to_pylist() for i in at)
+            keys, rel, rich = (_tens(batch.column(i)) for i in lists_at)
+            keys, rel, rich = keys.to_pylist(), *(x.to_numpy(zero_copy_only=False).reshape(-1, 10) for x in (rel, rich))
+            now, pairs = np.array(now, float), [x for pair in zip(one, two, strict=True) for x in pair]
+            parts, start = [], 0
+            while start < len(groups):
+                if groups[start] != current:
+                    current, state = groups[start], _Ratings(k, k_performance, team_half_life, player_half_life)
+                end = start + 1
+                while end < len(groups) and groups[end] == current:
+                    end += 1
+                here = slice(start, end)
+                parts.append(state.fold(now[here], pairs[2 * start : 2 * end], won[here], keys[10 * start : 10 * end], rel[here], rich[here]))
+                start = end
+            if not parts:
+                continue
+            ratings, team_gaps, before, gaps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns = [pa.array(np.ascontiguousarray(x)) for x in (*ratings.T, *team_gaps.T)]
             ends = np.arange(0, 10 * batch.num_rows + 1, 10, dtype=np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(m, pa.float64())) for m in many]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (*(before[:, :, v] for v in range(3)), gaps)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns, *lists], names=key + scalars + arrays)
 
     extra = [StructField(c, DoubleType()) for c in scalars] + [StructField(c, ArrayType(DoubleType())) for c in arrays]

@@ -189,3 +189,15 @@ def test_replay_streams_carry_only_what_the_recurrence_reads(spark):
     plan = RP.team_replay(wide)._jdf.queryExecution().optimizedPlan().toString()
     stream = plan[plan.index("MapInArrow") :].splitlines()[0]
     assert "payload" not in stream and "score1_game" not in stream
+
+
+def test_lineup_replay_starts_anew_in_each_league(spark):
+    data = random_contests(80)
+    people = roster(data, spark)
+    one = spark.createDataFrame(data, SCHEMA).withColumn("league", F.when(F.col("match_id") % 2 == 0, "x").otherwise("y"))
+    both = RP.lineup_replay(one, RP.roster_arrays(people), k_performance=0.4, league="league")
+    got = {r.game_id: r for r in both.collect()}
+    assert len(got) == 80
+    for league in ("x", "y"):
+        alone = RP.lineup_replay(one.where(F.col("league") == league), RP.roster_arrays(people), k_performance=0.4).collect()
+        assert alone and all(got[r.game_id] == r for r in alone)

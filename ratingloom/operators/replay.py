@@ -16,10 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import CLIP, INITIAL, K_PERFORMANCE, K_TEAM, PLAYER_HALF_LIFE, PLAYER_SCALE, SCALE, TEAM_HALF_LIFE, elo_expectation
 from . import windows
@@ -115,16 +114,6 @@ def roster_arrays(players: DataFrame, relative: str = "relative", rich: str | No
     return players.groupBy("match_id", "game_id").agg(cells.alias("c")).select("match_id", "game_id", F.col("c.player_key").alias("keys"), F.col("c.rel").alias("rel"), F.col("c.rich").alias("rich"))
 
 
-def _tens(column: pa.ListArray) -> pa.Array:
-    """The cells of lists of ten, end to end."""
-    if column.null_count or not pc.all(pc.equal(pc.list_value_length(column), 10), min_count=0).as_py():
-        raise ValueError("a map needs ten different players: a roster has another size")
-    cells = column.flatten()
-    if cells.null_count:
-        raise ValueError("a roster has a null player or performance")
-    return cells
-
-
 class _Seen:
     """Entities numbered as they appear, with the time each was last there."""
 
@@ -148,47 +137,43 @@ class _Seen:
         return codes.reshape(-1, width), days.reshape(-1, width)
 
 
-#: What a map's team change is worth to its ten players.
-SHARES = np.repeat([0.2, -0.2], 5)[:, None]
+#: What a map's team change is worth to each of the five players a side.
+SHARE = 0.2
 
 
-class _Ratings:
-    """One league's state in the lineup replay: ratings less the initial one, of teams and of players in three variants."""
+class _Teams:
+    """One league's state in the lineup replay: team ratings less the initial one."""
 
-    def __init__(self, k: float, k_performance: float, team_half_life: float, player_half_life: float) -> None:
-        self.k, self.k_performance, self.team_half_life, self.player_half_life = k, k_performance, team_half_life, player_half_life
-        self.teams, self.people = _Seen(), _Seen()
-        self.team: list[float] = []
-        self.person = np.zeros((64, 3))
+    def __init__(self, k: float, half_life: float) -> None:
+        self.k, self.half_life = k, half_life
+        self.seen, self.rating = _Seen(), []
 
-    def fold(self, now: np.ndarray, pairs: list, won: list, keys: list, rel: np.ndarray, rich: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Team ratings and gaps [row, 2], player ratings [row, 10, 3] and gaps [row, 10] before each row, in order.
+    def fold(self, now: np.ndarray, pairs: list, won: list) -> tuple[np.ndarray, np.ndarray]:
+        """[row, 3] ratings before each row and the row's change, [row, 2] gaps, in order.
 
         Gaps and their decay don't depend on ratings, so they are found for all rows at once.
         """
-        sides, team_gaps = self.teams.gaps(pairs, now, 2)
-        players, gaps = self.people.gaps(keys, now, 10)
-        ranked = np.sort(players, 1)
-        if (twice := (ranked[:, 1:] == ranked[:, :-1]).any(1)).any():
-            i = int(twice.argmax())
-            raise ValueError(f"a map needs ten different players: {keys[10 * i : 10 * i + 10]}")
-        self.team += [0.0] * (len(self.teams.codes) - len(self.team))
-        if (more := len(self.people.codes) - len(self.person)) > 0:
-            self.person = np.concatenate([self.person, np.zeros((max(more, len(self.person)), 3))])
-        team_keeps = np.exp2(-team_gaps / self.team_half_life).tolist()
-        keeps = np.ones((len(now), 10, 3))
-        keeps[:, :, 2] = np.exp2(-gaps / self.player_half_life)
-        moves = self.k_performance * np.stack([rel, rich, rich], 2)
-        team, person, ratings, before = self.team, self.person, [], np.empty((len(now), 10, 3))
-        for i, ((a, b), (p, q)) in enumerate(zip(sides.tolist(), team_keeps, strict=True)):
-            x, z = team[a] * p, team[b] * q
-            ratings.append((x, z))
-            step = self.k * (won[i] - 1.0 / (1.0 + 10.0 ** ((z - x) / SCALE)))
-            team[a], team[b] = x + step, z - step
-            at = players[i]
-            np.multiply(person[at], keeps[i], out=before[i])
-            person[at] = before[i] + moves[i] + step * SHARES
-        return INITIAL + np.array(ratings).reshape(-1, 2), team_gaps, INITIAL + before, gaps
+        sides, gaps = self.seen.gaps(pairs, now, 2)
+        self.rating += [0.0] * (len(self.seen.codes) - len(self.rating))
+        rating, out = self.rating, []
+        for (a, b), (p, q), y in zip(sides.tolist(), np.exp2(-gaps / self.half_life).tolist(), won, strict=True):
+            x, z = rating[a] * p, rating[b] * q
+            step = self.k * (y - 1.0 / (1.0 + 10.0 ** ((z - x) / SCALE)))
+            rating[a], rating[b] = x + step, z - step
+            out.append((INITIAL + x, INITIAL + z, step))
+        return np.array(out).reshape(-1, 3), gaps
+
+
+def _rostered(moved: DataFrame, rosters: DataFrame) -> DataFrame:
+    """A row for each of the ten players of a map; another number, a repeated or null player, or a null performance fails."""
+    lists = rosters.select(*ROW, F.col("keys").alias("__keys"), F.col("rel").alias("__rel"), F.col("rich").alias("__rich"))
+    whole = (F.size("__keys") == 10) & (F.size(F.array_distinct("__keys")) == 10) & (F.size("__rel") == 10) & (F.size("__rich") == 10)
+    for c in ("__keys", "__rel", "__rich"):
+        whole = whole & ~F.exists(c, lambda x: x.isNull())
+    cells = F.arrays_zip("__keys", "__rel", "__rich")
+    named = F.concat(F.lit("a map needs ten different players, none null: "), F.coalesce(F.array_join("__keys", ", ", "null"), F.lit("no roster")))
+    cells = F.when(F.coalesce(whole, F.lit(False)), cells).otherwise(F.raise_error(named))
+    return moved.join(lists, list(ROW)).select(*moved.columns, F.posexplode(cells).alias("__at", "__cell")).select(*moved.columns, "__at", "__cell.*")
 
 
 def lineup_replay(
@@ -211,46 +196,73 @@ def lineup_replay(
     of ten.  ``row`` (with the league) identifies a contest; contests without a
     roster, a key or a time are left out.  A roster of other than ten different
     players is an error.
+
+    Only teams meet each other, so only they need a league's one stream: two keys
+    and an outcome a map.  A player's rating moves by changes that are known then,
+    so players are dealt over the cluster, each a stream of their own maps.
     """
     if cutoff is not None:
         contests = contests.where(F.col("datetime") < F.lit(cutoff).cast(contests.schema["datetime"].dataType))
     key = [*([league] if league else []), *row]
     placed = contests.dropna(subset=[*key, *order]).select(*dict.fromkeys([*key, *order]), F.unix_micros(F.col("datetime").cast("timestamp")).alias("__now"), "key1", "key2", "team1_win")
-    dealt, name = _stream(placed.join(rosters.select(*ROW, "keys", "rel", "rich"), list(ROW)), league, order)
+    dealt, name = _stream(placed.join(rosters.select(*ROW), list(ROW), "left_semi"), league, order)
     names = dealt.columns
     at = [names.index(c) for c in (name, "__now", "key1", "key2", "team1_win")]
-    lists_at = [names.index(c) for c in ("keys", "rel", "rich")]
-    kept = [names.index(c) for c in key]
+    passed = list(dict.fromkeys([*key, *order, "__now"]))
+    kept = [names.index(c) for c in passed]
     scalars, arrays = ["team1_elo_decay", "team2_elo_decay", "team1_gap_days", "team2_gap_days"], ["basic", "rich_rating", "decay", "player_gaps"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_teams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = ()
         state = None
         for batch in batches:
             groups, now, one, two, won = (batch.column(i).to_pylist() for i in at)
-            keys, rel, rich = (_tens(batch.column(i)) for i in lists_at)
-            keys, rel, rich = keys.to_pylist(), *(x.to_numpy(zero_copy_only=False).reshape(-1, 10) for x in (rel, rich))
             now, pairs = np.array(now, float), [x for pair in zip(one, two, strict=True) for x in pair]
             parts, start = [], 0
             while start < len(groups):
                 if groups[start] != current:
-                    current, state = groups[start], _Ratings(k, k_performance, team_half_life, player_half_life)
+                    current, state = groups[start], _Teams(k, team_half_life)
                 end = start + 1
                 while end < len(groups) and groups[end] == current:
                     end += 1
-                here = slice(start, end)
-                parts.append(state.fold(now[here], pairs[2 * start : 2 * end], won[here], keys[10 * start : 10 * end], rel[here], rich[here]))
+                parts.append(state.fold(now[start:end], pairs[2 * start : 2 * end], won[start:end]))
                 start = end
             if not parts:
                 continue
-            ratings, team_gaps, before, gaps = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns = [pa.array(np.ascontiguousarray(x)) for x in (*ratings.T, *team_gaps.T)]
-            ends = np.arange(0, 10 * batch.num_rows + 1, 10, dtype=np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (*(before[:, :, v] for v in range(3)), gaps)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns, *lists], names=key + scalars + arrays)
-
-    extra = [StructField(c, DoubleType()) for c in scalars] + [StructField(c, ArrayType(DoubleType())) for c in arrays]
-    replayed = dealt.mapInArrow(run, _replayed(dealt.select(*key).schema, extra))
+            ratings, gaps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns = [pa.array(np.ascontiguousarray(x)) for x in (*ratings[:, :2].T, *gaps.T, ratings[:, 2])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*passed, *scalars, "__step"])
+
+    schema = StructType([*dealt.select(*passed).schema.fields, *[StructField(c, DoubleType()) for c in (*scalars, "__step")]])
+    moved = dealt.mapInArrow(of_teams, schema)
+    long = _rostered(moved, rosters).withColumn("__teams", F.when(F.col("__at") == 0, F.struct(*scalars))).drop(*scalars)
+    whose = [*([league] if league else []), "__keys"]
+    own = long.repartition(*whose).sortWithinPartitions(*whose, *order)
+    owned = own.columns
+    out_at = [owned.index(c) for c in (*key, "__at", "__teams")]
+
+    def of_players(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple = ()
+        basic = rich = drawn = last = 0.0
+        for batch in batches:
+            people = zip(*(batch.column(owned.index(c)).to_pylist() for c in whose), strict=True)
+            now, side, step, rel, more = (batch.column(owned.index(c)).to_numpy(zero_copy_only=False) for c in ("__now", "__at", "__step", "__rel", "__rich"))
+            changes = (step * np.where(side < 5, SHARE, -SHARE)).tolist()
+            found = []
+            for who, t, change, x, y in zip(people, now.astype(float).tolist(), changes, (k_performance * rel).tolist(), (k_performance * more).tolist(), strict=True):
+                if who != current:
+                    current, basic, rich, drawn, last = who, 0.0, 0.0, 0.0, t
+                gap = max(0.0, (t - last) / DAY)
+                drawn *= 2.0 ** (-gap / player_half_life)
+                found.append((basic, rich, drawn, gap))
+                basic, rich, drawn, last = basic + x + change, rich + y + change, drawn + y + change, t
+            values = np.array(found, float).reshape(-1, 4)
+            values[:, :3] += INITIAL
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out_at), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], names=[*key, "__at", "__teams", *arrays])
+
+    of_ten = StructType([*own.select(*key, "__at", "__teams").schema.fields, *[StructField(c, DoubleType()) for c in arrays]])
+    ten = own.mapInArrow(of_players, of_ten).groupBy(*key).agg(F.max("__teams").alias("__teams"), F.array_sort(F.collect_list(F.struct("__at", *arrays))).alias("__ten"))
+    replayed = ten.select(*key, "__teams.*", *[F.col(f"__ten.{c}").alias(c) for c in arrays])
     return contests.join(replayed, key).select(*contests.columns, *scalars, *arrays)
 
 

@@ -19,7 +19,7 @@ from ..operators import uncertainty as U
 from ..operators import windows as W
 from ..storage import stored
 from .fixture import ROSTER_SQL, VALID_SQL, contests, players, raw_contests, read
-from .relational import TRAIN, VALIDATION, rounded
+from .relational import STAMP, TRAIN, VALIDATION, at, rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -128,23 +128,74 @@ def _lineups(spark: SparkSession, sf_dir: str, cutoff: str | None = None) -> tup
     return RP.lineup_replay(rows, rosters, cutoff), people
 
 
-@query(
-    "decay_replay_team",
-    f"""with recursive {VALID_SQL},
-codes as (select team, row_number() over (order by team) as c from (select distinct team from sides)),
-coded as (select v.row_id, v.match_id, v.game_id, epoch_us(v.datetime) as now, v.team1_win::double as y, a.c as a, b.c as b from valid v join codes a on a.team = v.key1 join codes b on b.team = v.key2 where v.datetime < timestamp '1996-01-01'),
+#: Decayed team ratings by recursion over rows; ratings and last times are lists by team code.
+DECAY = """codes as (select team, row_number() over (order by team) as c from (select distinct team from sides)),
+coded as (select v.row_id, v.match_id, v.game_id, epoch_us(v.datetime) as now, v.team1_win::double as y, a.c as a, b.c as b from valid v join codes a on a.team = v.key1 join codes b on b.team = v.key2{limit}),
 walk as (
- select -1::bigint as row_id, null::bigint as match_id, null::bigint as game_id, 0.0::double as da, 0.0::double as db,
+ select -1::bigint as row_id, null::bigint as match_id, null::bigint as game_id, 0.0::double as da, 0.0::double as db, 0.0::double as step,
   (select list_transform(range(1, count(*) + 1), lambda x: 1500.0::double) from codes) as r, (select list_transform(range(1, count(*) + 1), lambda x: null::bigint) from codes) as seen
  union all
- select row_id, match_id, game_id, da, db,
+ select row_id, match_id, game_id, da, db, d,
   list_concat(list_concat(r[1:least(a, b) - 1], [case when a < b then da + d else db - d end]), list_concat(r[least(a, b) + 1:greatest(a, b) - 1], list_concat([case when a < b then db - d else da + d end], r[greatest(a, b) + 1:]))),
   list_concat(list_concat(seen[1:least(a, b) - 1], [now]), list_concat(seen[least(a, b) + 1:greatest(a, b) - 1], list_concat([now], seen[greatest(a, b) + 1:]))) from (
   select *, 24.0::double * (y - 1.0::double / (1.0::double + pow(10.0::double, (db - da) / 400.0::double))) as d from (
    select v.*, w.r, w.seen,
     1500.0::double + (w.r[v.a] - 1500.0::double) * pow(2.0::double, -greatest(0, v.now - coalesce(w.seen[v.a], v.now)) / 86400000000.0::double / 180.0::double) as da,
     1500.0::double + (w.r[v.b] - 1500.0::double) * pow(2.0::double, -greatest(0, v.now - coalesce(w.seen[v.b], v.now)) / 86400000000.0::double / 180.0::double) as db
-   from walk w join coded v on v.row_id = w.row_id + 1)))
+   from walk w join coded v on v.row_id = w.row_id + 1)))"""
+
+#: Windows by player over the walk's steps: a rating is the sum of its changes, each halved over the half-life since.
+#: Performances weigh nothing by default, so the basic and the rich rating are equal.
+LINEUPS = f"""{ROSTER_SQL.lstrip().rstrip()},
+{DECAY.format(limit="")},
+moves as (select p.row_id, p.datetime, p.side, p.slot, p.player_key, (epoch_us(p.datetime) - epoch_us(timestamp '1995-01-01')) / 86400000000.0::double as day,
+  case p.side when 1 then 0.2::double else -0.2::double end * w.step as d from players p join walk w using (row_id)),
+prior as (select *, 1500.0::double + coalesce(sum(d) over w, 0.0::double) as basic,
+  1500.0::double + coalesce(sum(d * pow(2.0::double, day / 1095.0::double)) over w, 0.0::double) * pow(2.0::double, -day / 1095.0::double) as decay,
+  coalesce(day - max(day) over w, 0.0::double) as gap, count(*) over w as maps
+  from moves window w as (partition by player_key order by row_id rows between unbounded preceding and 1 preceding)),
+rosters as (select row_id, datetime, side, string_agg(player_key, '+' order by player_key) as lineup, avg(maps) as maps, count_if(maps = 0)::bigint as cold, avg(gap) as gap, max(gap) as most,
+  avg(basic) as basic_mean, median(basic) as basic_median, min(basic) as basic_min, max(basic) as basic_max, stddev_pop(basic) as basic_std,
+  avg(decay) as decay_mean, median(decay) as decay_median, min(decay) as decay_min, max(decay) as decay_max, stddev_pop(decay) as decay_std
+  from prior group by row_id, datetime, side),
+together as (select *, row_number() over (partition by lineup order by row_id, side) - 1 as together from rosters),
+team_gaps as (select row_id, side, coalesce((epoch_us(datetime) - lag(epoch_us(datetime)) over (partition by team order by row_id)) / 86400000000.0::double, 0.0::double) as gap from sides),
+maps_of as (select v.*, w.da, w.db, w.step, x.gap as gap1, z.gap as gap2 from valid v join walk w using (row_id) join team_gaps x on x.row_id = v.row_id and x.side = 1 join team_gaps z on z.row_id = v.row_id and z.side = 2)"""
+
+
+def _lineup_columns() -> str:
+    """The columns of a map beyond its contest's, in SQL: m is the map, a and b are its sides."""
+
+    def real(e: str, name: str) -> str:
+        return f"round({e}, {DIGITS}) as {name}"
+
+    def won(x: str, y: str) -> str:
+        return f"1.0::double / (1.0::double + pow(10.0::double, ({y} - {x}) / 400.0::double))"
+
+    out = [real("m.da", "team1_elo_decay"), real("m.db", "team2_elo_decay"), real("m.gap1", "team1_gap_days"), real("m.gap2", "team2_gap_days"), real(won("m.da", "m.db"), "raw_team_elo_prob"), real("m.da - m.db", "team_elo_diff")]
+    kinds = {"basic": "basic", "rich": "basic", "decay": "decay"}
+    for s, t in (("1", "a"), ("2", "b")):
+        out += [real(f"{t}.{of}_{x}", f"team{s}_player_elo{kind}_{x}") for kind, of in {**{f"_{k}": v for k, v in kinds.items()}, "": "decay"}.items() for x in ("mean", "median", "min", "max", "std")]
+        out += [real(f"{t}.gap", f"team{s}_player_gap_days_mean"), real(f"{t}.most", f"team{s}_player_gap_days_max"), real(f"{t}.decay_mean", f"team{s}_player_agg_elo"), real(f"{t}.maps", f"team{s}_player_prior_maps_mean")]
+        out += [f"{t}.cold as team{s}_player_cold_starts", f"{t}.together as team{s}_lineup_prior_maps", f"0.0::double as team{s}_player_prior_rich_updates_mean"]
+        out += [f"false as team{s}_has_prior_rich_stats", f"false as team{s}_rich_stats_final_map", f"0::bigint as team{s}_rich_players_final_map"]
+    for kind, of in {**{f"_{k}": v for k, v in kinds.items()}, "": "decay"}.items():
+        out.append(real(won(f"a.{of}_mean", f"b.{of}_mean"), f"raw_player_elo_prob{kind}"))
+        out += [real(f"a.{of}_{x} - b.{of}_{x}", f"player_elo{kind}_{x}_diff") for x in ("mean", "min")]
+    return ", ".join([*out, real("a.decay_mean - b.decay_mean", "player_agg_elo_diff"), "a.together - b.together as lineup_prior_maps_diff"])
+
+
+#: Digits of sums of thousands of changes, which two engines add up in different orders.
+DIGITS = 4
+#: What a lineup query keeps of its contests.
+CONTEST = ("match_id", "game_id", "map_name", "score1_game", "score2_game", "team1_id", "team2_id", "tournament", "team1", "team2", "team1_join_key", "team2_join_key", "team1_win", "key1", "key2")
+NINE = "BaseElo_diff PlayerAggElo_diff_scaled team1_gap_days team2_gap_days player_elo_std_A_scaled player_elo_std_B_scaled".split()
+
+
+@query(
+    "decay_replay_team",
+    f"""with recursive {VALID_SQL},
+{DECAY.format(limit=" where v.datetime < timestamp '1996-01-01'")}
 select match_id, game_id, round(da, 6) as team1_elo_decay, round(db, 6) as team2_elo_decay from walk where row_id >= 0""",
 )
 def decay_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,17 +209,44 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RP.lineup_features(replayed, people)
 
 
-@query("player_elo_replay")
+BOTH = "maps_of m join together a on a.row_id = m.row_id and a.side = 1 join together b on b.row_id = m.row_id and b.side = 2"
+
+
+@query("player_elo_replay", f"with recursive {LINEUPS} select {', '.join(f'm.{c}' for c in CONTEST)}, strftime(m.datetime, '{STAMP}') as datetime, {_lineup_columns()} from {BOTH}")
 def player_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).drop("basic", "rich_rating", "decay", "player_gaps", "price", "discount", "tax", "part", "is_total", "best_of", "bo")
+    """Every column before each map."""
+    rows = _features(spark, sf_dir).drop("basic", "rich_rating", "decay", "player_gaps", "price", "discount", "tax", "part", "is_total", "best_of", "bo")
+    return rounded(rows.withColumn("datetime", at()), *[c for c, kind in rows.dtypes if kind == "double"], digits=DIGITS)
 
 
-@query("matchup_features")
+@query(
+    "matchup_features",
+    f"""with recursive {LINEUPS} select m.match_id, m.game_id, round(m.da - m.db, {DIGITS}) as BaseElo_diff, round({S.PLAYER_SCALE}::double * (a.decay_mean - b.decay_mean), {DIGITS}) as PlayerAggElo_diff_scaled,
+ round(m.gap1, {DIGITS}) as team1_gap_days, round(m.gap2, {DIGITS}) as team2_gap_days, round({S.PLAYER_SCALE}::double * a.decay_std, {DIGITS}) as player_elo_std_A_scaled, round({S.PLAYER_SCALE}::double * b.decay_std, {DIGITS}) as player_elo_std_B_scaled,
+ (a.together - b.together)::double as lineup_prior_maps_diff, a.cold::double as team1_player_cold_starts, b.cold::double as team2_player_cold_starts from {BOTH}""",
+)
 def matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RP.model_features(_features(spark, sf_dir), keep=("match_id", "game_id"))
+    return rounded(RP.model_features(_features(spark, sf_dir), keep=("match_id", "game_id")), *NINE, digits=DIGITS)
 
 
-@query("snapshot_matchups")
+@query(
+    "snapshot_matchups",
+    f"""with recursive {LINEUPS}, moment as (select epoch_us(timestamp '2002-01-01') as t),
+team_after as (select key1 as team, row_id, datetime, da + step as rating from maps_of union all select key2, row_id, datetime, db - step from maps_of),
+teams as (select team, epoch_us(max(datetime)) as seen, arg_max(rating, row_id) as rating from team_after group by team),
+people as (select player_key, max(day) as seen, count(*) as n, arg_max(decay + d, row_id) as rating from prior group by player_key),
+latest as (select s.team, p.slot, arg_max(p.player_key, p.row_id) as player from players p join sides s using (row_id, side) group by s.team, p.slot),
+known as (select l.team, l.player, coalesce(p.n, 0) as n, 1500.0::double + (p.rating - 1500.0::double) * pow(2.0::double, -((select t from moment) - epoch_us(timestamp '1995-01-01') - p.seen * 86400000000.0::double) / 86400000000.0::double / 1095.0::double) as now
+ from latest l join people p on p.player_key = l.player),
+rows_of as (select team, avg(now) as mean, stddev_pop(now) as std, count_if(n = 0)::double as cold, string_agg(player, '+' order by player) as lineup from known group by team),
+counted as (select lineup, count(*) as n from rosters group by lineup),
+state as (select r.*, coalesce(c.n, 0)::double as together, ((select t from moment) - t.seen) / 86400000000.0::double as gap, 1500.0::double + (t.rating - 1500.0::double) * pow(2.0::double, -((select t from moment) - t.seen) / 86400000000.0::double / 180.0::double) as base
+ from rows_of r left join counted c using (lineup) join teams t using (team)),
+places as (select team, row_number() over (order by team) as k from teams)
+select x.team as team1, z.team as team2, round(a.base - b.base, {DIGITS}) as BaseElo_diff, round({S.PLAYER_SCALE}::double * (a.mean - b.mean), {DIGITS}) as PlayerAggElo_diff_scaled, round(a.gap, {DIGITS}) as team1_gap_days, round(b.gap, {DIGITS}) as team2_gap_days,
+ round({S.PLAYER_SCALE}::double * a.std, {DIGITS}) as player_elo_std_A_scaled, round({S.PLAYER_SCALE}::double * b.std, {DIGITS}) as player_elo_std_B_scaled, a.together - b.together as lineup_prior_maps_diff, a.cold as team1_player_cold_starts, b.cold as team2_player_cold_starts
+from places x join places z on z.k = x.k + 1 and x.k % 2 = 1 and z.k <= 8 join state a on a.team = x.team join state b on b.team = z.team""",
+)
 def snapshot_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine inputs of hypothetical matchups of the fixture's teams, from the snapshots."""
     rows = stored(contests(spark, sf_dir), "contests")
@@ -179,7 +257,8 @@ def snapshot_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = lineup.groupBy("team", "slot").agg(F.max_by("player_key", F.struct("datetime", "match_id", "game_id", "side")).alias("player")).drop("slot")
     names = [r["team"] for r in teams.orderBy("team").limit(8).collect()]
     pairs = spark.createDataFrame(list(zip(names[::2], names[1::2], strict=False)), "team1 string, team2 string")
-    return RP.matchup_features(pairs, latest, teams, RP.player_snapshot(replayed, rosters), RP.lineup_counts(people), "2002-01-01 00:00:00")
+    found = RP.matchup_features(pairs, latest, teams, RP.player_snapshot(replayed, rosters), RP.lineup_counts(people), "2002-01-01 00:00:00")
+    return rounded(found, *NINE, digits=DIGITS)
 
 
 @query(

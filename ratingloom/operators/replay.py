@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import CLIP, INITIAL, K_PERFORMANCE, K_TEAM, PLAYER_HALF_LIFE, PLAYER_SCALE, SCALE, TEAM_HALF_LIFE, elo_expectation
+from ..storage import stored
 from . import windows
 from .reshape import side_pivot
 
@@ -176,6 +177,48 @@ def _rostered(moved: DataFrame, rosters: DataFrame) -> DataFrame:
     return moved.join(lists, list(ROW)).select(*moved.columns, F.posexplode(cells).alias("__at", "__cell")).select(*moved.columns, "__at", "__cell.*")
 
 
+TEAM_COLUMNS = ("team1_elo_decay", "team2_elo_decay", "team1_gap_days", "team2_gap_days")
+
+
+def _moved(contests: DataFrame, rosters: DataFrame, k: float, half_life: float, league: str | None, order: tuple[str, ...], key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """The league's one stream: key, order and ``carry`` of the maps with a roster, ``TEAM_COLUMNS`` before each and its ``__step``."""
+    placed = contests.dropna(subset=[*key, *order]).select(*dict.fromkeys([*key, *order, *carry]), F.unix_micros(F.col("datetime").cast("timestamp")).alias("__now"), "key1", "key2", F.col("team1_win").alias("__won"))
+    dealt, name = _stream(placed.join(rosters.select(*ROW), list(ROW), "left_semi"), league, order)
+    names = dealt.columns
+    at = [names.index(c) for c in (name, "__now", "key1", "key2", "__won")]
+    passed = list(dict.fromkeys([*key, *order, *carry, "__now"]))
+    kept = [names.index(c) for c in passed]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: object = ()
+        state = None
+        for batch in batches:
+            groups, now, one, two, won = (batch.column(i).to_pylist() for i in at)
+            now, pairs = np.array(now, float), [x for pair in zip(one, two, strict=True) for x in pair]
+            parts, start = [], 0
+            while start < len(groups):
+                if groups[start] != current:
+                    current, state = groups[start], _Teams(k, half_life)
+                end = start + 1
+                while end < len(groups) and groups[end] == current:
+                    end += 1
+                parts.append(state.fold(now[start:end], pairs[2 * start : 2 * end], won[start:end]))
+                start = end
+            if not parts:
+                continue
+            ratings, gaps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns = [pa.array(np.ascontiguousarray(x)) for x in (*ratings[:, :2].T, *gaps.T, ratings[:, 2])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*passed, *TEAM_COLUMNS, "__step"])
+
+    return dealt.mapInArrow(run, _replayed(dealt.select(*passed).schema, [StructField(c, DoubleType()) for c in (*TEAM_COLUMNS, "__step")]))
+
+
+def _by_player(moved: DataFrame, rosters: DataFrame, of_map: list[str], whose: list[str], order: tuple[str, ...]) -> DataFrame:
+    """The ten players of each map, dealt by player, each player's maps in order; ``of_map`` go with the first as ``__teams``."""
+    long = _rostered(moved, rosters).withColumn("__teams", F.when(F.col("__at") == 0, F.struct(*of_map)))
+    return long.drop(*(c for c in of_map if c not in order)).repartition(*whose).sortWithinPartitions(*whose, *order)
+
+
 def lineup_replay(
     contests: DataFrame,
     rosters: DataFrame,
@@ -203,41 +246,11 @@ def lineup_replay(
     """
     if cutoff is not None:
         contests = contests.where(F.col("datetime") < F.lit(cutoff).cast(contests.schema["datetime"].dataType))
+    scalars, arrays = list(TEAM_COLUMNS), ["basic", "rich_rating", "decay", "player_gaps"]
     key = [*([league] if league else []), *row]
-    placed = contests.dropna(subset=[*key, *order]).select(*dict.fromkeys([*key, *order]), F.unix_micros(F.col("datetime").cast("timestamp")).alias("__now"), "key1", "key2", "team1_win")
-    dealt, name = _stream(placed.join(rosters.select(*ROW), list(ROW), "left_semi"), league, order)
-    names = dealt.columns
-    at = [names.index(c) for c in (name, "__now", "key1", "key2", "team1_win")]
-    passed = list(dict.fromkeys([*key, *order, "__now"]))
-    kept = [names.index(c) for c in passed]
-    scalars, arrays = ["team1_elo_decay", "team2_elo_decay", "team1_gap_days", "team2_gap_days"], ["basic", "rich_rating", "decay", "player_gaps"]
-
-    def of_teams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: object = ()
-        state = None
-        for batch in batches:
-            groups, now, one, two, won = (batch.column(i).to_pylist() for i in at)
-            now, pairs = np.array(now, float), [x for pair in zip(one, two, strict=True) for x in pair]
-            parts, start = [], 0
-            while start < len(groups):
-                if groups[start] != current:
-                    current, state = groups[start], _Teams(k, team_half_life)
-                end = start + 1
-                while end < len(groups) and groups[end] == current:
-                    end += 1
-                parts.append(state.fold(now[start:end], pairs[2 * start : 2 * end], won[start:end]))
-                start = end
-            if not parts:
-                continue
-            ratings, gaps = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns = [pa.array(np.ascontiguousarray(x)) for x in (*ratings[:, :2].T, *gaps.T, ratings[:, 2])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*passed, *scalars, "__step"])
-
-    schema = StructType([*dealt.select(*passed).schema.fields, *[StructField(c, DoubleType()) for c in (*scalars, "__step")]])
-    moved = dealt.mapInArrow(of_teams, schema)
-    long = _rostered(moved, rosters).withColumn("__teams", F.when(F.col("__at") == 0, F.struct(*scalars))).drop(*scalars)
+    moved = _moved(contests, rosters, k, team_half_life, league, order, key)
     whose = [*([league] if league else []), "__keys"]
-    own = long.repartition(*whose).sortWithinPartitions(*whose, *order)
+    own = _by_player(moved, rosters, scalars, whose, order)
     owned = own.columns
     out_at = [owned.index(c) for c in (*key, "__at", "__teams")]
 
@@ -418,70 +431,89 @@ def weight_sweep(features: DataFrame, base: str, player: str, y: str, scale: flo
 def half_life_grid(contests: DataFrame, rosters: DataFrame, half_lives: list[float], k_performances: list[float], train_until: str, validation_until: str, chunks: int = 8) -> DataFrame:
     """Player-only probabilities of every (half-life, K) on validation: log loss, correlation, scale.
 
-    The grid is cut into ``chunks``; the rows go once to each and are folded there
-    for all its parameters at a time, in vectors.  The scale is fitted on the
-    training rows, which come first in the stream.  An infinite half-life means
-    no decay.
+    A rating is linear in K: the sum of the team's changes and K times the sum of
+    the performances, both drawn back.  So players are dealt over the cluster and
+    carry two numbers for each half-life, whatever the number of Ks, and the teams'
+    stream runs once.  The scale is fitted on the training rows, in a first pass
+    over the maps' differences; a second pass over the validation rows scores all
+    parameters in vectors, a ``chunks``-th of the grid at a time.  Only a row of
+    sums for each of them meets anywhere.  An infinite half-life means no decay.
     """
-    grid = [(h, p) for h in half_lives for p in k_performances]
-    parts = [np.array(grid[i::chunks], float) for i in range(chunks) if grid[i::chunks]]
+    halves = list(dict.fromkeys(float(h) for h in half_lives))
+    width = len(halves)
+    cells = [(halves.index(float(h)), float(h), float(p)) for h in half_lives for p in k_performances]
+    parts = [cells[i::chunks] for i in range(chunks) if cells[i::chunks]]
     kind = contests.schema["datetime"].dataType
-    phase = F.when(F.col("datetime") < F.lit(train_until).cast(kind), 0).when(F.col("datetime") < F.lit(validation_until).cast(kind), 1).otherwise(2)
-    rows = contests.join(rosters, ["match_id", "game_id"]).select(*KEYS, F.unix_micros(F.col("datetime").cast("timestamp")).alias("now"), "key1", "key2", "team1_win", "keys", "rich", phase.alias("phase")).where("phase < 2")
-    dealt = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1)))).repartition(len(parts), "chunk").sortWithinPartitions("chunk", *KEYS)
+    rows = contests.where(F.col("datetime") < F.lit(validation_until).cast(kind))
+    moved = _moved(rows, rosters, K_TEAM, TEAM_HALF_LIFE, None, KEYS, list(ROW), ("team1_win",))
+    moved = moved.withColumns({"base": F.col("team1_elo_decay") - F.col("team2_elo_decay"), "training": F.col("datetime") < F.lit(train_until).cast(kind)}).drop(*TEAM_COLUMNS)
+    own = _by_player(moved, rosters, ["base", "training", "team1_win"], ["__keys"], KEYS)
+    owned = own.columns
+    sums = [f"{x}{i}" for x in "ab" for i in range(width)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(chunk: int, s: dict) -> pa.RecordBatch:
-            p, n = parts[chunk], max(1, s["n1"])
-            cov = s["bx"] / n - s["b"] / n * s["x"] / n
-            var = np.sqrt(np.maximum(0, s["bb"] / n - (s["b"] / n) ** 2) * np.maximum(0, s["xx"] / n - (s["x"] / n) ** 2))
-            corr = np.where(var > 0, cov / np.where(var > 0, var, 1), 0.0)
-            return pa.RecordBatch.from_pydict({"half_life": p[:, 0], "k_performance": p[:, 1], "scale": s["scale"] if s["scale"] is not None else np.ones(len(p)), "log_loss": s["loss"] / n, "correlation": corr, "n": np.full(len(p), s["n1"])})
-
-        chunk, s = None, {}
+    def of_players(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, state = None, 0.0, np.zeros((2, width))
         for batch in batches:
-            for now, a, b, y, keys, rich, phase_, c in zip(*(batch.column(i).to_pylist() for i in range(3, 11)), strict=True):
-                if c != chunk:
-                    if chunk is not None:
-                        yield finish(chunk, s)
-                    chunk, width = c, len(parts[c])
-                    zero = np.zeros(width)
-                    s = {"team": {}, "people": {}, "n0": 0, "n1": 0, "scale": None, "b0": 0.0, "bb0": 0.0, "x0": zero, "xx0": zero, "loss": zero, "b": 0.0, "bb": 0.0, "x": zero, "xx": zero, "bx": zero}
-                    half, kp = parts[c][:, 0], parts[c][:, 1]
-                rating = []
-                for key in (a, b):
-                    r, last = s["team"].get(key, (INITIAL, now))
-                    rating.append(INITIAL + (r - INITIAL) * 2.0 ** (-max(0.0, (now - last) / DAY) / TEAM_HALF_LIFE))
-                values = np.empty((10, len(half)))
-                for i, key in enumerate(keys):
-                    r, last = s["people"].get(key, (None, now))
-                    values[i] = 0.0 if r is None else r * 2.0 ** (-max(0.0, (now - last) / DAY) / half)
-                x, base = values[:5].mean(0) - values[5:].mean(0), rating[0] - rating[1]
-                if phase_ == 0:
-                    s["n0"] += 1
-                    s["b0"] += base
-                    s["bb0"] += base * base
-                    s["x0"], s["xx0"] = s["x0"] + x, s["xx0"] + x * x
-                else:
-                    if s["scale"] is None:
-                        n = max(1, s["n0"])
-                        spread = np.sqrt(np.maximum(0, s["xx0"] / n - (s["x0"] / n) ** 2))
-                        s["scale"] = np.where(spread > 0, np.sqrt(max(0.0, s["bb0"] / n - (s["b0"] / n) ** 2)) / np.where(spread > 0, spread, 1), 1.0)
-                    scaled = s["scale"] * x
-                    q = np.clip(1.0 / (1.0 + 10.0 ** (-scaled / SCALE)), 1e-12, 1 - 1e-12)
-                    s["n1"] += 1
-                    s["loss"] = s["loss"] - (np.log(q) if y else np.log(1 - q))
-                    s["b"] += base
-                    s["bb"] += base * base
-                    s["x"], s["xx"], s["bx"] = s["x"] + scaled, s["xx"] + scaled * scaled, s["bx"] + base * scaled
-                step = K_TEAM * (y - 1.0 / (1.0 + 10.0 ** (-base / SCALE)))
-                s["team"][a], s["team"][b] = (rating[0] + step, now), (rating[1] - step, now)
-                for i, key in enumerate(keys):
-                    s["people"][key] = (values[i] + (step if i < 5 else -step) / 5.0 + kp * rich[i], now)
-        if chunk is not None:
-            yield finish(chunk, s)
-
-    return dealt.mapInArrow(run, "half_life double, k_performance double, scale double, log_loss double, correlation double, n long")
+            who = batch.column(owned.index("__keys")).to_pylist()
+            now, side, step, rich = (batch.column(owned.index(c)).to_numpy(zero_copy_only=False) for c in ("__now", "__at", "__step", "__rich"))
+            sign = np.where(side < 5, 1.0, -1.0)
+            before = np.append(last, now[:-1])
+            keeps = np.exp2(-np.maximum(0.0, (now - before) / DAY)[:, None] / np.array(halves))
+            adds = np.stack([step * sign * SHARE, rich], 1)[:, :, None]
+            out = np.empty((len(who), 2, width))
+            for i, name in enumerate(who):
+                if name != current:
+                    current = name
+                    state[:] = 0.0
+                state *= keeps[i]
+                out[i] = state
+                state += adds[i]
+            last = now[-1] if len(now) else last
+            out *= (sign / 5.0)[:, None, None]
+            kept = [batch.column(owned.index(c)) for c in (*ROW, "__teams")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(x)) for x in out.reshape(len(who), -1).T)], names=[*ROW, "__teams", *sums])
+
+    schema = _replayed(own.select(*ROW, "__teams").schema, [StructField(c, DoubleType()) for c in sums])
+    maps = own.mapInArrow(of_players, schema).groupBy(*ROW).agg(F.max("__teams").alias("t"), *[F.sum(c).alias(c) for c in sums])
+    maps = stored(maps.select("t.*", *sums), "grid")
+    totals = ("n", "b", "bb", "x", "xx", "bx", "loss")
+
+    def added(scales: dict[tuple[float, float], float]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(parts), max(map(len, parts)), len(totals)))
+            for batch in batches:
+                base, won, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float), np.stack([c.to_numpy() for c in batch.columns[2:]])
+                for low in range(0, len(base), 4096):
+                    b, y, v = base[low : low + 4096], won[low : low + 4096], values[:, low : low + 4096]
+                    for part, some in zip(total, parts, strict=True):
+                        at, k = np.array([c[0] for c in some]), np.array([c[2] for c in some])[:, None]
+                        x = (v[at] + k * v[width + at]) * np.array([scales.get(c[1:], 1.0) for c in some])[:, None]
+                        q = np.clip(1.0 / (1.0 + 10.0 ** (-x / SCALE)), CLIP, 1 - CLIP)
+                        loss = -np.log(np.where(y > 0, q, 1.0 - q)).sum(1)
+                        part[: len(some)] += np.stack([np.full(len(some), len(b)), np.full(len(some), b.sum()), np.full(len(some), (b * b).sum()), x.sum(1), (x * x).sum(1), (x * b).sum(1), loss], 1)
+            for part, some in zip(total, parts, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([c[1] for c in some]), pa.array([c[2] for c in some]), *(pa.array(np.ascontiguousarray(x)) for x in part[: len(some)].T)], names=["half_life", "k_performance", *totals])
+
+        read = maps.where("training" if not scales else "not training").select("base", F.col("team1_win").cast("int"), *sums)
+        added = read.mapInArrow(run, "half_life double, k_performance double, " + ", ".join(f"{c} double" for c in totals))
+        return added.groupBy("half_life", "k_performance").agg(*[F.sum(c).alias(c) for c in totals])
+
+    def spread(square: Column | float, mean: Column | float) -> Column:
+        return F.sqrt(F.greatest(F.lit(0.0), square / F.greatest(F.lit(1.0), F.col("n")) - F.pow(mean / F.greatest(F.lit(1.0), F.col("n")), 2)))
+
+    of_base, of_player = spread(F.col("bb"), F.col("b")), spread(F.col("xx"), F.col("x"))
+    fitted = added({}).select("half_life", "k_performance", F.when((F.col("n") > 0) & (of_player > 0), of_base / of_player).otherwise(F.lit(1.0)).alias("scale"))
+    scales = {(r["half_life"], r["k_performance"]): r["scale"] for r in fitted.collect()} or dict.fromkeys([c[1:] for c in cells], 1.0)
+    n = F.greatest(F.lit(1.0), F.col("n"))
+    covariance = F.col("bx") / n - F.col("b") / n * F.col("x") / n
+    table = _scale_table(maps.sparkSession, scales)
+    out = added(scales).join(F.broadcast(table), ["half_life", "k_performance"])
+    return out.select("half_life", "k_performance", "scale", (F.col("loss") / n).alias("log_loss"), F.when(of_base * of_player > 0, covariance / (of_base * of_player)).otherwise(F.lit(0.0)).alias("correlation"), F.col("n").cast("long").alias("n"))
+
+
+def _scale_table(spark: SparkSession, scales: dict[tuple[float, float], float]) -> DataFrame:
+    """The fitted scale of each parameter pair: as many rows as the grid has."""
+    return spark.createDataFrame([(*cell, scale) for cell, scale in scales.items()], "half_life double, k_performance double, scale double")
 
 
 def best_of_grid(grid: DataFrame) -> DataFrame:

@@ -393,10 +393,43 @@ def best_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.best_row(sweep(spark, sf_dir), "log_loss", "weight")
 
 
-@query("halflife_grid")
+# The sweep's half-lives in days and weights of performances.
+HALF_LIVES = (7, 14, 21, 30, 45, 60, 75, 90, 120, 150, 180, 210, 240, 270, 300, 330, 365, 540, 730, 1095)
+WEIGHTS = (0.0, 0.25, 0.5, 1.0, *range(2, 21))
+
+
+def _grid_sql(half_lives: str) -> str:
+    """Every pair of the listed half-lives and the weights: windows by player and half-life."""
+    weights = ", ".join(str(float(k)) for k in WEIGHTS)
+    return f"""with recursive {LINEUPS},
+filled as (select *, coalesce(adr, median(adr) over (partition by match_id, game_id, side), 0.0) as x from players),
+rel as (select row_id, side, slot, x - avg(x) over (partition by match_id, game_id, side) as relative from filled),
+halves as (select unnest([{half_lives}]::double[]) as h), weights as (select unnest([{weights}]::double[]) as k),
+drawn as (select m.row_id, m.side, h, coalesce(sum(d * pow(2.0::double, day / h)) over w, 0.0::double) * pow(2.0::double, -day / h) as a, coalesce(sum(relative * pow(2.0::double, day / h)) over w, 0.0::double) * pow(2.0::double, -day / h) as b
+  from moves m join rel using (row_id, side, slot), halves where m.datetime < timestamp '{VALIDATION}' window w as (partition by m.player_key, h order by m.row_id rows between unbounded preceding and 1 preceding)),
+differ as (select row_id, h, sum(case side when 1 then a else -a end) / 5 as a, sum(case side when 1 then b else -b end) / 5 as b from drawn group by row_id, h),
+asked as (select m.datetime < timestamp '{TRAIN}' as training, m.team1_win as y, m.da - m.db as base, h, k, d.a + k * d.b as x from maps_of m join differ d using (row_id), weights),
+scales as (select h, k, coalesce(case when stddev_pop(x) > 0 then stddev_pop(base) / stddev_pop(x) end, 1.0::double) as scale from asked where training group by h, k),
+scored as (select h, k, scale, base, x, y, greatest(1e-12::double, least(1.0::double - 1e-12::double, 1.0::double / (1.0::double + pow(10.0::double, -scale * x / 400.0::double)))) as p from asked join scales using (h, k) where not training)
+select {{columns}} round(k, 6) as k_performance, round(scale, {DIGITS}) as scale, round(avg(-ln(case when y > 0 then p else 1.0::double - p end)), 6) as log_loss, round(coalesce(corr(base, x), 0.0::double), 6) as correlation, count(*) as n from scored group by h, k, scale"""
+
+
+def _grid(spark: SparkSession, sf_dir: str, half_lives: list[float]) -> DataFrame:
+    rows = stored(contests(spark, sf_dir), "contests")
+    found = RP.half_life_grid(rows, _roster(rows)[1], half_lives, list(WEIGHTS), TRAIN, VALIDATION)
+    return rounded(rounded(found, "half_life", "k_performance", "log_loss", "correlation"), "scale", digits=DIGITS)
+
+
+@query("halflife_grid", _grid_sql(", ".join(map(str, HALF_LIVES))).format(columns="round(h, 6) as half_life,"))
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contests(spark, sf_dir)
-    return RP.half_life_grid(rows, _roster(rows)[1], [90.0, 365.0, 1095.0, float("inf")], [0.0, 0.05, 0.1], TRAIN, VALIDATION, chunks=4)
+    """All 460 parameter pairs."""
+    return _grid(spark, sf_dir, list(HALF_LIVES))
+
+
+@query("no_decay_probe", _grid_sql("'inf'").format(columns=""))
+def no_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without decay."""
+    return _grid(spark, sf_dir, [float("inf")]).drop("half_life")
 
 
 @query("correlation_and_spread", f"with {SCORED} select round(corr(p, q), 6) as correlation, round(stddev_pop(p) / stddev_pop(q), 6) as scale, round(stddev_pop(p), 6) as deviation from scored")

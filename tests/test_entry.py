@@ -10,7 +10,7 @@ from ratingloom.plans import registry
 from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"halflife_grid", "gbt_scores", "isotonic_calibration", "feature_gain", "family_gain"}
+SLOW = {"gbt_scores", "isotonic_calibration", "feature_gain", "family_gain"}
 
 
 def plain(value):

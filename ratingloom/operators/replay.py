@@ -3,9 +3,10 @@
 Ratings are a strict recurrence, so a league is one ordered stream.  Leagues
 (``league`` column; teams of different leagues never meet) are dealt over the
 cluster and sorted in place, and each task streams its leagues through Arrow
-batches with the ratings as its only state: memory grows with teams and players,
-not with rows, and Spark's sort spills.  Only what the recurrence reads goes
-through that stream; its ratings are joined to the rows by their key, in parallel.
+batches with the ratings as its only state: memory grows with teams, not with
+rows, and Spark's sort spills.  Only what the recurrence reads goes through that
+stream; its ratings are joined to the rows by their key, in parallel.  Players
+never meet but through their teams' changes, so each is a stream of their own.
 Everything that isn't a recurrence (counts, gaps, lineups, head-to-head, form) is
 a window in ``windows``.
 """

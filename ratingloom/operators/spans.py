@@ -273,7 +273,8 @@ class Spans:
         if spans is not None:
             stream = stream.where(F.col("span").isin(spans))
         roster, halves, channels = self.roster, self.halves, self.channels
-        dealt = stream.repartition(max(1, len(self.bounds)), "span").sortWithinPartitions("span", "cell", "kind")
+        n = len(self.bounds)  # more partitions than spans: else their hashes put several spans into one task
+        dealt = stream.repartition(max(1, n, min(8 * n, 400)), "span").sortWithinPartitions("span", "cell", "kind")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             current, guest = None, None

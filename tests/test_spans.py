@@ -105,7 +105,7 @@ def test_same_player_twice_fails_in_spans(spark):
         spans.sums().collect()
 
 
-QUERIES = ["matchup_features"]
+QUERIES = ["matchup_features", "player_elo_replay"]
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -2,8 +2,8 @@
 
 A player's rating is a sum of changes that are drawn back over time, so it can be
 found span by span: what a span adds to each of its players doesn't depend on
-what was before it.  Contests (narrow, all columns numbers) are dealt by time
-into cells, each one row of compressed bytes.
+what was before it.  Contests (narrow, all columns numbers) are packed where they
+are found and dealt by time into cells, each one row of compressed bytes.
 
 1. One stream over all cells carries the teams' ratings, the only recurrence. It
    leaves the state of a cell's teams at the cell's start, so that any task can
@@ -21,6 +21,7 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import CLIP, INITIAL, K_TEAM, SCALE, TEAM_HALF_LIFE, elo_expectation
-from ..storage import stored
+from ..storage import remove, stored
 from .replay import DAY, SHARE, grid_scores
 
 #: Most maps of a cell, and about the maps of a span.
 CELL, SPAN = 250_000, 1_000_000
+#: Rows that a task packs at once, and about the rows from which the ends of ranges are found.
+HELD, SAMPLE = 500_000, 20_000
 #: Buckets of players and lineups that are carried over the spans.
 BUCKETS = 24
 #: Numbers of one array of players' ratings in a task, about.
@@ -76,44 +79,92 @@ def kept(df: DataFrame, label: str) -> DataFrame:
         conf.unset(name) if before is None else conf.set(name, before)
 
 
-def packed(rows: DataFrame, order: tuple[str, ...], most: int = CELL) -> DataFrame:
-    """``cell, n, first, last, body``: the rows in order, at most ``most`` a cell or one Arrow batch; cells rise in that order.
+def range_ends(keys: DataFrame, n: int) -> list[tuple[int, int]]:
+    """At most ``n - 1`` rising pairs that cut the pairs of ``keys`` into about equal ranges, by a hashed sample of them."""
+    one, two = keys.columns
+    keys = keys.dropna()
+    some = keys.where(F.pmod(F.xxhash64(one, two), F.lit(max(1, keys.count() // SAMPLE))) == 0).limit(4 * SAMPLE)
+    found = sorted(tuple(r) for r in some.collect())
+    return sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
 
-    All columns are numbers; ``now`` is among them.  Rows without a place in the order are left out.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.dropna(subset=list(order)).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    names = dealt.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = made = place = 0
 
-        def cell() -> pa.RecordBatch:
-            arrays = {name: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i, name in enumerate(names)}
-            body = _dump({name: _narrow(x) for name, x in arrays.items()})
-            return pa.RecordBatch.from_pylist([{"cell": (place << 24) + made, "n": count, "first": int(arrays["now"][0]), "last": int(arrays["now"][-1]), "body": body}], schema=pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("body", pa.binary())]))
+def packed(rows: DataFrame | list[DataFrame], order: tuple[str, str, str], most: int = CELL, ends: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``cell, n, first, last, body``: the rows in order, at most ``most`` a cell; cells rise in that order.
 
+    All columns are numbers; ``now`` is first in the order.  Rows without a place in the order are left out.
+    Several tables, the parts of one, are taken one after the other, so that only one of them is
+    exchanged at a time.  Rows are packed where they lie, a body for each range of the order's first
+    two columns between ``ends``, and only bodies are dealt.
+    """
+    parts = [part.dropna(subset=list(order)) for part in (rows if isinstance(rows, list) else [rows])]
+    spark, names = parts[0].sparkSession, parts[0].columns
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ends is None:
+        keys = reduce(DataFrame.unionByName, [part.select(*order[:2]) for part in parts])
+        ends = range_ends(keys, n)
+
+    def in_order(held: list[Arrays]) -> Arrays:
+        arrays = {name: np.concatenate([x[name] for x in held]) for name in names}
+        at = np.lexsort([arrays[name] for name in reversed(order)])
+        return {name: x[at] for name, x in arrays.items()}
+
+    def body(arrays: Arrays, part: slice) -> bytes:
+        return _dump({name: _narrow(x[part]) for name, x in arrays.items()})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bodies(held: list[Arrays]) -> Iterator[pa.RecordBatch]:
+            arrays = in_order(held)
+            one, two, low = arrays[order[0]], arrays[order[1]], 0
+            for place, end in enumerate([*ends, None]):
+                high = len(one)
+                if end is not None:
+                    first, last = np.searchsorted(one, end[0]), np.searchsorted(one, end[0], "right")
+                    high = int(first + np.searchsorted(two[first:last], end[1], "right"))
+                if high > low:
+                    yield _stream([("place", pa.int64()), ("body", pa.binary())], [(place, body(arrays, slice(low, high)))])
+                low = high
+
+        held, count = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            place = batch.column(len(names))[0].as_py()
-            if count + batch.num_rows > most and held:
-                yield cell()
-                held, count, made = [], 0, made + 1
-            held.append(batch)
+            held.append({name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(names)})
             count += batch.num_rows
+            if count >= HELD:
+                yield from bodies(held)
+                held, count = [], 0
+        if count:
+            yield from bodies(held)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells(place: int, held: list[Arrays]) -> Iterator[pa.RecordBatch]:
+            arrays = in_order(held)
+            now = arrays[order[0]]
+            for made, low in enumerate(range(0, len(now), most)):
+                part = slice(low, low + most)
+                yield _stream(_CELL, [((place << 24) + made, len(now[part]), int(now[part][0]), int(now[part][-1]), body(arrays, part))])
+
+        current, held = None, []
+        for place, found in _rows(batches):
+            if place != current and held:
+                yield from cells(current, held)
+                held = []
+            current = place
+            held.append(_load(found))
         if held:
-            yield cell()
+            yield from cells(current, held)
 
-    placed = dealt.withColumn("__place", F.spark_partition_id().cast("long"))
-    return kept(placed.mapInArrow(run, "cell long, n long, first long, last long, body binary"), "cells")
+    stores = [kept(part.mapInArrow(cut, "place long, body binary"), "ranges") for part in parts]
+    dealt = reduce(DataFrame.unionByName, stores).repartition(max(n, len(ends) + 1), "place").sortWithinPartitions("place")
+    found = kept(dealt.mapInArrow(joined, "cell long, n long, first long, last long, body binary"), "cells")
+    for store in stores:
+        remove(spark, store._written_at)
+    return found
 
 
 def _stream(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[c for c, _ in schema])
 
 
+_CELL = [("cell", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("body", pa.binary())]
 _OUT = [("span", pa.int32()), ("cell", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())]
 
 

@@ -1,6 +1,7 @@
 """The replay by spans against the replay by players, and what its queries leave on disk."""
 
 import os
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.operators import replay as RP
 from ratingloom.operators import spans as SP
-from ratingloom.plans import forecast
+from ratingloom.plans import fixture, forecast
 from tests.conftest import SF
 from tests.test_replay import SCHEMA, random_contests
 
@@ -105,6 +106,29 @@ def test_same_player_twice_fails_in_spans(spark):
         spans.sums().collect()
 
 
+def unpacked(cells):
+    """All maps of the cells, in their order."""
+    found = [(r.n, r.first, r.last, SP._load(r.body)) for r in cells.orderBy("cell").collect()]
+    assert all((n, first, last) == (len(c["now"]), c["now"][0], c["now"][-1]) for n, first, last, c in found)
+    return {name: np.concatenate([c[name].astype(float) for *_, c in found]) for name in found[0][3]}
+
+
+def test_contests_are_joined_in_parts_and_dealt_packed(spark, monkeypatch):
+    """No exchange holds all lines or a row for each contest, and the cells hold the same maps in the same order."""
+    whole = unpacked(fixture.cells(spark, SF, "price", "part"))
+    plans, real = [], SP.stored
+    monkeypatch.setattr(SP, "stored", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, label))[1])
+    lines = pq.read_metadata(f"{SF}/lineitem.parquet").num_rows
+    monkeypatch.setattr(fixture, "PART", -(-lines // 3))
+    parts = unpacked(fixture.cells(spark, SF, "price", "part"))
+    joins = [p for p in plans if " Join " in p or "Join Inner" in p]
+    assert len(joins) == 3 and all("xxhash64" in p for p in joins)
+    assert not any(re.search(r"RepartitionByExpression \[[^\]]*ASC", p) for p in plans)
+    rows = fixture.contests(spark, SF, lean=True).select("match_id", "game_id", "datetime", "price").orderBy("datetime", "match_id", "game_id").collect()
+    assert [(r.match_id, r.game_id, r.price) for r in rows] == list(zip(*(whole[c].tolist() for c in ("match_id", "game_id", "price")), strict=True))
+    assert whole.keys() == parts.keys() and all(np.array_equal(whole[c], parts[c]) for c in whole)
+
+
 QUERIES = ["matchup_features", "player_elo_replay", "halflife_grid", "no_decay_probe", "snapshot_matchups"]
 
 

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import trimmed
 from .common import materialise
 from .wordhash import U, Words, pieces
 
@@ -153,9 +154,9 @@ def occurring(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
             np.bitwise_or.at(there, at >> U(3), (U(1) << (at & U(7))).astype(np.uint8))
         yield pa.RecordBatch.from_pydict({"bits": pa.array([there.tobytes()], pa.binary())})
 
-    grams = benchmark.select("text").mapInArrow(of_items, "gram long").distinct()
+    grams = benchmark.select("text").mapInArrow(trimmed(of_items), "gram long").distinct()
     bitmap = np.zeros(bits >> 3, np.uint8)
-    for row in grams.coalesce(4).mapInArrow(places, "bits binary").toLocalIterator():
+    for row in grams.coalesce(4).mapInArrow(trimmed(places), "bits binary").toLocalIterator():
         bitmap |= np.frombuffer(row["bits"], np.uint8)
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,7 @@ def occurring(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
                     held, waiting = [], 0
         yield counted()
 
-    partial = docs.select("text").where("text is not null").mapInArrow(of_docs, "gram long, n long")
+    partial = docs.select("text").where("text is not null").mapInArrow(trimmed(of_docs), "gram long, n long")
     return partial.groupBy("gram").agg(F.sum("n").alias("n")).join(grams, "gram", "left_semi")
 
 
@@ -280,7 +281,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE
         return run
 
     schema = "doc_id long, item_id long, score double, start_byte long, end_byte long, n_words int"
-    parts = [docs.mapInArrow(matcher(items), schema) for items in _item_blocks(docs, benchmark, block_bytes)]
+    parts = [docs.mapInArrow(trimmed(matcher(items)), schema) for items in _item_blocks(docs, benchmark, block_bytes)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -302,5 +303,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SC
 
     out = docs
     for items in _item_blocks(docs, benchmark, block_bytes):
-        out = out.mapInArrow(keeper(items), docs.schema)
+        out = out.mapInArrow(trimmed(keeper(items)), docs.schema)
     return out

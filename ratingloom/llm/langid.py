@@ -35,6 +35,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..shipping import trimmed
+
 PROFILE = 400
 PER_LANGUAGE = 3000
 LANGUAGES = 500
@@ -134,7 +136,7 @@ def learn(docs: DataFrame, known: Column, size: int = PROFILE, per_language: int
         for lang, own in total.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "gram": pa.array(own.keys(), pa.int64()), "n": pa.array(own.values(), pa.int64())})
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(trimmed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counts.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     profiles: dict[str, list[int]] = {}
     for r in first.orderBy("lang", "place").collect():
@@ -154,7 +156,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, names, scores], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def reject_unknown(docs: DataFrame, profiles: Profiles, least: float = MIN_SCORE) -> DataFrame:

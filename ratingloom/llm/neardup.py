@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import trimmed
 from .common import bounded, materialise, scratch
 from .wordhash import U, Words, mix, pieces
 
@@ -151,7 +152,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[some].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(1)[low:high], lists], names=["doc_id", "digest", "bands"])
 
-    return given.mapInArrow(run, "doc_id long, digest string, bands array<long>")
+    return given.mapInArrow(trimmed(run), "doc_id long, digest string, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -165,7 +166,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(ends, pa.array(key.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], keys, pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))], names=["doc_id", "keys", "times"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>, times array<int>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, keys array<long>, times array<int>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float, n_pairs: int) -> DataFrame:
@@ -187,7 +188,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float, n_pairs: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
     both = left.join(bounded(pairs, n_pairs), "a").join(right, "b").select("a", "b", "ka", "ta", "kb", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def sketches(sets: DataFrame) -> DataFrame:
                 bits = np.packbits((mix(signed) & U(1)).astype(np.uint8), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(columns)))], names=["rep", *columns])
 
-    return sets.mapInArrow(run, "rep long, " + ", ".join(f"{c} long" for c in columns))
+    return sets.mapInArrow(trimmed(run), "rep long, " + ", ".join(f"{c} long" for c in columns))
 
 
 def across(entries: DataFrame, sets: DataFrame, tested: DataFrame, n_tested: int, threshold: float) -> DataFrame:

@@ -1,6 +1,8 @@
+import resource
 from collections import Counter
 
 import corpus_pipeline
+from ratingloom import shipping
 from ratingloom.llm import decontam, registry
 from ratingloom.llm.common import materialise
 
@@ -66,3 +68,35 @@ def test_near_dedup_tells_the_texts_of_an_id_apart(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, SF).collect())
     assert got == Counter([(1, text("a")), (1, text("b")), (3, text("c")), (None, text("d")), (None, text("e")), (4, text("f")), (4, " "), (5, None), (5, "")])
+
+
+def _resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * resource.getpagesize()
+
+
+def test_a_worker_gives_freed_memory_back_after_its_last_batch():
+    """Blocks freed between others that stay would be held by the allocator."""
+    stay = []
+
+    def holes(batches):
+        blocks = [bytes(60_000) for _ in range(4000)]
+        stay.extend(blocks[::100])
+        del blocks
+        yield from batches
+
+    list(holes(iter([])))
+    held = _resident()
+    assert list(shipping.trimmed(holes)(iter([1, 2]))) == [1, 2]
+    assert _resident() < held - 100_000_000
+
+
+def test_every_stage_with_python_gives_memory_back_and_gets_small_batches(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (seen.append(f.__qualname__), real(self, f, *a, **k))[1])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen.clear()
+        stage(spark, docs, SF)
+        assert seen and set(seen) == {"trimmed.<locals>.whole"}, name
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20

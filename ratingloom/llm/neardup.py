@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import trimmed
-from .common import bounded, materialise, scratch
+from .common import bounded, materialise, merged, scratch
 from .wordhash import U, Words, mix, pieces
 
 BANDS, ROWS = 32, 6
@@ -218,11 +218,12 @@ def across(entries: DataFrame, sets: DataFrame, tested: DataFrame, n_tested: int
     is what the banding itself allows (a pair at 0.8 shares none of 32 bands of 6
     with probability 6e-5).
     """
-    of_rep = materialise(entries.groupBy("rep").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "openreps", entries.count(), 100_000)
+    n_entries = entries.count()
+    of_rep = materialise(entries.groupBy("rep").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "openreps", n_entries, 100_000)
     n = of_rep.count()
     mine = sets.join(bounded(of_rep.select(F.col("rep").alias("doc_id")), n), "doc_id", "left_semi")
     bits = sketches(mine.coalesce(max(1, -(-n // 250))))
-    rows = materialise(entries.join(materialise(bits.join(of_rep, "rep"), "sketches", n, 10_000), "rep"), "open")
+    rows = materialise(entries.join(materialise(bits.join(of_rep, "rep"), "sketches", n, 10_000), "rep"), "open", n_entries, 20_000)
     names = [c for c in rows.columns if c != "bucket"]
     x = rows.where("label <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in names])
     y = rows.select("bucket", *[F.col(c).alias(f"y_{c}") for c in names])
@@ -233,7 +234,8 @@ def across(entries: DataFrame, sets: DataFrame, tested: DataFrame, n_tested: int
     # Two documents beside the largest label meet twice: once is enough.
     once = (F.col("y_label") == F.col("y_main")) | (F.col("x_rep") > F.col("y_rep"))
     pairs = x.join(y, "bucket").where((F.col("x_label") != F.col("y_label")) & once & (differ <= most) & (first == F.col("bucket")))
-    return pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct().join(bounded(tested, n_tested), ["a", "b"], "left_anti")
+    fresh = pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct().join(bounded(tested, n_tested), ["a", "b"], "left_anti")
+    return merged(fresh, n_entries, 5000)
 
 
 def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
@@ -246,10 +248,10 @@ def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
     while True:
         n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large", 2 * n)
+        least = merged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), 2 * n)
         large = materialise(both.join(bounded(least, 2 * n), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "largestar", n)
         # small star: all edges point from u to smaller v
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small", n)
+        low = merged(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(bounded(low, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "smallstar", 2 * n)
         # Done when every node points to one other and none is pointed to and points itself.
@@ -275,7 +277,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         several = (F.min("doc_id") < F.max("doc_id")) | (F.count("doc_id").between(1, F.count(F.lit(1)) - 1))
         texts = found.where("size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.coalesce(several, F.lit(False)).alias("several"), F.min("bands").alias("bands"))
         # A number is fixed once it is written; it only has to be different for each text.
-        copies = materialise(texts.withColumn("rep", F.monotonically_increasing_id()), "copies", n_docs, 10_000)
+        copies = materialise(texts.withColumn("rep", F.monotonically_increasing_id()), "copies", n_docs, 40_000)
         n_texts = copies.count()
         labels, n_labels = _labels(docs, copies, n_texts, threshold, bands, shingle)
         placed = copies.select("digest", "first_id", "several", "rep").join(bounded(labels, n_labels), copies.rep == labels.node, "left").select("digest", "first_id", "several", F.coalesce("label", "rep").alias("label"), F.col("label").isNotNull().alias("linked"))
@@ -292,8 +294,8 @@ def _labels(docs: DataFrame, copies: DataFrame, n_texts: int, threshold: float,
     n_entries = n_texts * bands
     entries = copies.select("rep", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other")
-    buckets = materialise(buckets.select("bucket", "centre"), "buckets", n_entries, 400_000)
-    hits = materialise(entries.join(bounded(buckets, buckets.count()), "bucket"), "hits", n_entries, 400_000)
+    buckets = materialise(buckets.select("bucket", "centre"), "buckets", n_entries, 1_000_000)
+    hits = materialise(entries.join(bounded(buckets, buckets.count()), "bucket"), "hits", n_entries, 1_000_000)
     n_hits = hits.count()
     pairs = materialise(hits.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs", n_hits)
     n_pairs = pairs.count()
@@ -304,7 +306,7 @@ def _labels(docs: DataFrame, copies: DataFrame, n_texts: int, threshold: float,
     of_first = own.join(bounded(wanted, n_wanted).withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = of_first.groupBy(F.col("rep").alias("doc_id")).agg(F.min("text").alias("text"))
     sets = materialise(shingle_sets(texts, shingle), "sets", n_wanted, 1000)
-    links = materialise(verify(pairs, sets, threshold, n_pairs), "verified", n_pairs, 1000)
+    links = materialise(verify(pairs, sets, threshold, n_pairs), "verified", n_pairs, 4000)
     labels = materialise(components(links, n_pairs), "labels", n_pairs)
 
     # Buckets that still hold several components: the pairs across them that longer signatures let pass.
@@ -316,16 +318,16 @@ def _labels(docs: DataFrame, copies: DataFrame, n_texts: int, threshold: float,
     open_ = materialise(placed.join(bounded(mixed, mixed.count()), "bucket"), "open", n_hits, 400_000)
     crossing = materialise(across(open_, sets, pairs, n_pairs, threshold), "across")
     n_crossing = crossing.count()
-    more = materialise(verify(crossing, sets, threshold, n_crossing), "reverified", n_crossing, 1000)
+    more = materialise(verify(crossing, sets, threshold, n_crossing), "reverified", n_crossing, 4000)
     n_more = more.count()
     if n_more:
         # Only the labels that the new links join are numbered again.
         name = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         joined = more.join(name[0], "a", "left").join(name[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        merged = materialise(components(joined, n_more), "merged", 2 * n_more).select(F.col("node").alias("old"), F.col("label").alias("new"))
-        merged = bounded(merged, 2 * n_more)
-        kept = labels.join(merged, labels.label == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
-        fresh = merged.join(labels.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+        renamed = materialise(components(joined, n_more), "merged", 2 * n_more).select(F.col("node").alias("old"), F.col("label").alias("new"))
+        renamed = bounded(renamed, 2 * n_more)
+        kept = labels.join(renamed, labels.label == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+        fresh = renamed.join(labels.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
         labels = materialise(kept.unionByName(fresh), "relabelled", 2 * (n_pairs + n_more))
     return labels, 2 * (n_pairs + n_more)
 

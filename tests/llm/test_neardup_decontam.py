@@ -130,6 +130,36 @@ def test_wide_broadcasts_are_joins_beyond_their_bound(spark, monkeypatch):
     assert sorted(r.doc_id for r in neardup.first_of_each(df).collect()) == sorted(set(want.values()))
 
 
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    """A task that writes starts processes, so no table of a few rows is dealt over all shuffle partitions."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    texts = [t for _ in range(4) for t in family(rng, [rng.choice(words) for _ in range(120)], 30, 12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hold = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in hold}
+    for key, value in hold.items():
+        spark.conf.set(key, value)
+    files, real = {}, neardup.materialise
+
+    def counted(df, label, *a):
+        out = real(df, label, *a)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    try:
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == classes(dict(enumerate(texts)))
+    assert {"open", "across", "reverified"} <= set(files)
+    files.pop("signatures")  # as many as the input's partitions
+    assert max(max(n) for n in files.values()) <= 3
+    assert len(files["smallstar"]) == len(files["largestar"]) and not {"large", "small"} & set(files)
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
